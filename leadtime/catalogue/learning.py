@@ -1 +1,257 @@
-from leadtime.catalogue.registry import query
+"""Feature vectors, model grids and whole flows.
+
+The learning table: one row per line, costly if quantity times price is above twice the average,
+cut by ship date. Trained models have no SQL twin; what goes into them has.
+"""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadtime.catalogue.registry import EVENTS_SQL, query, table, timed_events
+from leadtime.functions.clock import epoch_seconds
+from leadtime.functions.cyclic import cyclic
+from leadtime.operators import learn, metrics
+from leadtime.operators.asof import asof_bucketed
+from leadtime.operators.balance import oversample_minority
+from leadtime.operators.history import previous_outcome
+from leadtime.operators.levels import fold_rare_levels
+from leadtime.operators.ranking import top
+from leadtime.operators.split import time_split
+from leadtime.plans.training import Columns, Parts, explore, linear_parts, parts_of, train_boosting
+from leadtime.session import shared_folder
+from leadtime.sources.stages import load_model, restage, save_model
+
+LINE_COLUMNS = Columns(
+    categoricals=["line", "l_linestatus", "supplier"],
+    numericals=["l_quantity", "l_extendedprice", "l_discount", "l_tax", "month_sin", "month_cos"],
+    outcome="costly",
+    time="t",
+)
+
+
+def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month_sin, month_cos = cyclic(F.month("l_shipdate"), "MTH")
+    lineitem = table(spark, sf_dir, "lineitem")
+    amount = F.col("l_quantity") * F.col("l_extendedprice")
+    lines = lineitem.select(
+        F.col("l_linenumber").cast("string").alias("line"),
+        "l_linestatus",
+        F.col("l_suppkey").cast("string").alias("supplier_key"),
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
+        month_sin.alias("month_sin"),
+        month_cos.alias("month_cos"),
+        epoch_seconds(F.col("l_shipdate")).alias("t"),
+        (amount > 2 * lineitem.agg(F.avg(amount)).scalar()).cast("int").alias("costly"),
+    )
+    return fold_rare_levels(lines, "supplier_key", "supplier", "RARE").drop("supplier_key")
+
+
+def line_parts(spark: SparkSession, sf_dir: str) -> Parts:
+    return parts_of(line_features(spark, sf_dir), LINE_COLUMNS, tasks=spark.sparkContext.defaultParallelism)
+
+
+@query(
+    """
+SELECT l_linenumber AS level, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(l_linenumber AS VARCHAR)) - 1 AS DOUBLE)
+       AS level_idx, count(*) AS n FROM lineitem GROUP BY l_linenumber"""
+)
+def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem", "l_linenumber").select(F.col("l_linenumber").cast("string").alias("level"))
+    indexed = learn.category_indexer(["level"]).fit(lines).transform(lines)
+    return indexed.groupBy(F.col("level").cast("int").alias("level"), "level_idx").agg(F.count("*").alias("n"))
+
+
+@query(
+    """
+WITH i AS (SELECT l_returnflag, row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS idx
+           FROM lineitem GROUP BY l_returnflag)
+SELECT l_orderkey, l_linenumber, CAST(idx = 0 AS INTEGER) AS slot0, CAST(idx = 1 AS INTEGER) AS slot1,
+       CAST(idx = 2 AS INTEGER) AS slot2 FROM lineitem JOIN i USING (l_returnflag)"""
+)
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every level has a slot; only unseen and null have none."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    indexed = learn.category_indexer(["l_returnflag"]).fit(lines).transform(lines)
+    encoded = learn.one_hot(["l_returnflag"]).fit(indexed).transform(indexed)
+    slots = vector_to_array("l_returnflag_class")
+    return encoded.select("l_orderkey", "l_linenumber", *[slots[i].cast("int").alias(f"slot{i}") for i in range(3)])
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber,
+       round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS quantity,
+       round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER (), 6) AS price
+FROM lineitem"""
+)
+def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"
+    )
+    scaled = learn.linear_features([], ["l_quantity", "l_extendedprice"]).fit(lines).transform(lines)
+    slots = vector_to_array("scaledFeatures")
+    return scaled.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.round(slots[0], 6).alias("quantity"),
+        F.round(slots[1], 6).alias("price"),
+    )
+
+
+@query()
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training part, encoded, assembled and scaled."""
+    parts = line_parts(spark, sf_dir)
+    prepared = learn.linear_features(LINE_COLUMNS.categoricals, LINE_COLUMNS.numericals).fit(parts.train)
+    return prepared.transform(parts.train).select("label", vector_to_array("scaledFeatures").alias("features"))
+
+
+@query()
+def l1_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every feature slot under the L1 penalty, and whether the slot is kept."""
+    with linear_parts(line_parts(spark, sf_dir), LINE_COLUMNS) as (ready, _):
+        slicer, lasso = learn.l1_slicer(ready.train)
+        weights = learn.importances(spark, lasso.coefficients.toArray(), ready.train, "features")
+    return weights.withColumn("kept", F.col("idx").isin(*slicer.getIndices()))
+
+
+def _grid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    trials = explore(line_parts(spark, sf_dir), LINE_COLUMNS, [kind]).trials[kind]
+    return learn.trial_table(spark, trials)
+
+
+@query()
+def lr_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir, "logistic")
+
+
+@query()
+def rf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir, "forest")
+
+
+@query()
+def gbt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir, "boosting")
+
+
+@query()
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per kind of model, the baseline included."""
+    return explore(line_parts(spark, sf_dir), LINE_COLUMNS).scores
+
+
+@query()
+def gbt_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test part scored by the tuned trees after a round trip of the model through storage."""
+    parts = line_parts(spark, sf_dir)
+    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    save_model(train_boosting(parts, LINE_COLUMNS).model, root, "boosting")
+    scored = metrics.scored(load_model(PipelineModel, root, "boosting").transform(parts.test))
+    return restage(scored.select("label", "score", "prediction"), root, "lines", "predictions")
+
+
+@query()
+def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 features that count most in a forest of the default depth."""
+    parts = line_parts(spark, sf_dir)
+    with linear_parts(parts, LINE_COLUMNS) as (ready, _):
+        vectors = learn.tree_features(LINE_COLUMNS.categoricals, LINE_COLUMNS.numericals, "indexedFeatures")
+        train = vectors.transform(ready.train)
+        model = learn.forest("indexedFeatures", learn.max_bins(train, "indexedFeatures")).fit(train)
+    table_ = learn.importances(spark, model.featureImportances.toArray(), train, "indexedFeatures")
+    return top(table_, [F.desc("score"), F.asc("idx")], 15)
+
+
+# Events as departures, views as readings: the whole way from as-of join to balanced training rows.
+EVENT_COLUMNS = Columns(
+    categoricals=["user_folded", "prev_outcome"],
+    numericals=["reading_value", "age", "minute_sin", "minute_cos"],
+    outcome="label",
+    time="t",
+)
+
+
+def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = timed_events(spark, sf_dir)
+    departures = events.where(F.col("event_type") != "view").select("event_id", "user_id", "k", "t", "label")
+    readings = events.where(F.col("event_type") == "view").select(
+        "k",
+        F.col("event_id").alias("reading_id"),
+        F.col("t").alias("reading_time"),
+        F.col("value").alias("reading_value"),
+    )
+    joined = asof_bucketed(departures, readings, "k", "t", "reading_time", "reading_id")
+    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    joined = restage(joined.withColumn("user", F.col("user_id").cast("string")), root, "events", "original")
+    folded = fold_rare_levels(joined, "user", "user_folded", "RARE")
+    minute_sin, minute_cos = cyclic(F.floor(F.col("t") / 60) % 1440, "TIME")
+    cycled = folded.withColumns({"minute_sin": minute_sin, "minute_cos": minute_cos})
+    return previous_outcome(cycled, "user_id", "t", "label", "event_id")
+
+
+_EVENT_FEATURES_SQL = f"""
+WITH e AS ({EVENTS_SQL}),
+d AS (SELECT event_id, user_id, k, t, label FROM e WHERE event_type <> 'view'),
+v AS (SELECT k, event_id AS reading_id, t AS reading_time, value AS reading_value FROM e WHERE event_type = 'view'),
+near AS (SELECT d.*, reading_id, reading_value, d.t - reading_time AS age FROM d JOIN v ON d.k = v.k
+         AND round(d.t / 3600) - round(reading_time / 3600) IN (2, 3)),
+j AS (SELECT * FROM near WHERE age >= 7200
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY age, reading_id) = 1),
+f AS (SELECT user_id, count(*) AS n FROM j GROUP BY user_id),
+c AS (SELECT quantile_disc(n, 0.8) AS cut FROM f),
+h AS (SELECT j.*, CASE WHEN n <= cut THEN 'RARE' ELSE CAST(j.user_id AS VARCHAR) END AS user_folded,
+             lag(label) OVER w AS before, lag(t) OVER w AS before_t
+      FROM j JOIN f ON j.user_id = f.user_id CROSS JOIN c WINDOW w AS (PARTITION BY j.user_id ORDER BY t, event_id)),
+g AS (SELECT event_id, t, label, reading_value, age, user_folded,
+             CASE WHEN before IS NULL OR t - before_t < 7200 THEN 0 ELSE before END AS prev_outcome,
+             round(sin((t // 60) % 1440 * 2 * pi() / 1440), 6) + 0 AS minute_sin FROM h),
+b AS (SELECT min(t) AS first, max(t) AS last FROM g),
+s AS (SELECT g.*, CASE WHEN t <= first + floor((last - first) * CAST(0.6 AS DOUBLE)) THEN 'train'
+                       WHEN t <= first + floor((last - first) * CAST(0.8 AS DOUBLE)) THEN 'val' ELSE 'test' END AS part
+      FROM g, b),
+r AS (SELECT greatest(1, count(*) FILTER (label = 0) // count(*) FILTER (label = 1)) AS times FROM s WHERE part = 'train')
+SELECT s.* REPLACE (CASE WHEN minute_sin = 0 THEN 0.0 ELSE minute_sin END AS minute_sin)
+FROM s, r, range(100000) AS copies(i) WHERE i < CASE WHEN part = 'train' AND label = 1 THEN times ELSE 1 END"""
+
+
+@query(_EVENT_FEATURES_SQL)
+def engineered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parted = time_split(event_features(spark, sf_dir), "t", 0.6, 0.2)
+    balanced = oversample_minority(parted.where(F.col("part") == "train"), "label")
+    return balanced.unionByName(parted.where(F.col("part") != "train")).select(
+        "event_id",
+        "t",
+        "label",
+        "reading_value",
+        "age",
+        "user_folded",
+        "prev_outcome",
+        F.round("minute_sin", 6).alias("minute_sin"),
+        "part",
+    )
+
+
+@query()
+def delay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way on to tuned trees: one row of quality metrics of the test part."""
+    parts = parts_of(event_features(spark, sf_dir), EVENT_COLUMNS, tasks=spark.sparkContext.defaultParallelism)
+    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    final = train_boosting(parts, EVENT_COLUMNS)
+    scored = restage(
+        metrics.scored(final.predictions).select("label", "score", "prediction"), root, "events", "predictions"
+    )
+    return metrics.curve_areas(scored).select(
+        "*",
+        metrics.accuracy(scored).scalar().alias("accuracy"),
+        metrics.false_positive_rate(scored).scalar().alias("fpr"),
+    )

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadtime.operators.cleaning import require
 from leadtime.session import cut_lineage
 
 
 def flow_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
     """(src, dst, weight): each pair once, with the number of rows that go that way."""
     return (
-        df.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-        .dropna()
+        require(df.select(F.col(src).alias("src"), F.col(dst).alias("dst")), ["src", "dst"])
         .groupBy("src", "dst")
         .agg(F.count("*").alias("weight"))
     )
@@ -20,7 +20,7 @@ def flow_edges(df: DataFrame, src: str, dst: str) -> DataFrame:
 
 def flow_vertices(df: DataFrame, src: str) -> DataFrame:
     """(id): every place something departs from."""
-    return df.select(F.col(src).alias("id")).dropna().distinct()
+    return require(df.select(F.col(src).alias("id")), ["id"]).distinct()
 
 
 def pagerank(
