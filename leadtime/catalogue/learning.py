@@ -56,7 +56,9 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_parts(spark: SparkSession, sf_dir: str) -> Parts:
-    return parts_of(line_features(spark, sf_dir), LINE_COLUMNS, tasks=spark.sparkContext.defaultParallelism)
+    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    features = restage(line_features(spark, sf_dir), root, "lines", "proposed_features")
+    return parts_of(features, LINE_COLUMNS, tasks=spark.sparkContext.defaultParallelism).staged(root, "lines")
 
 
 @query(
@@ -244,8 +246,9 @@ def engineered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def delay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way on to tuned trees: one row of quality metrics of the test part."""
-    parts = parts_of(event_features(spark, sf_dir), EVENT_COLUMNS, tasks=spark.sparkContext.defaultParallelism)
     root = f"{shared_folder(spark)}/{uuid4().hex}"
+    features = restage(event_features(spark, sf_dir), root, "events", "proposed_features")
+    parts = parts_of(features, EVENT_COLUMNS, tasks=spark.sparkContext.defaultParallelism).staged(root, "events")
     final = train_boosting(parts, EVENT_COLUMNS)
     scored = restage(
         metrics.scored(final.predictions).select("label", "score", "prediction"), root, "events", "predictions"
