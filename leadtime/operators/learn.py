@@ -52,8 +52,8 @@ def with_label(df: DataFrame, outcome: str, label: str = "label") -> DataFrame:
 def linear_features(categoricals: Sequence[str], numericals: Sequence[str], *, center: bool = True) -> Pipeline:
     """Index, encode, assemble and scale to ``scaledFeatures``; also yields ``<c>_idx``.
 
-    Centering makes the vectors dense. With many encoded levels ``center=False`` keeps them
-    sparse, which changes the intercept of an unpenalised model only.
+    Centering makes the vectors dense: one number per encoded level and row. With ``center=False``
+    they stay sparse. Logistic regression with an intercept finds the same weights either way.
     """
     return Pipeline(
         stages=[

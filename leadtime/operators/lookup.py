@@ -73,7 +73,7 @@ def keys_in_use(lookup: DataFrame, key: str, table: DataFrame, table_key: str) -
 def within_bounds(df: DataFrame, time: str, other: DataFrame, other_time: str, before: int = 4 * HOUR) -> DataFrame:
     """Rows from ``before`` seconds ahead of the first to the last moment of ``other``.
 
-    The bounds are scalar subqueries, so they reach the file scan as ordinary range filters.
+    The bounds stay in the plan as scalar subqueries: one aggregate over ``other``, nothing joined.
     """
     first = other.agg(F.min(other_time) - before).scalar()
     last = other.agg(F.max(other_time)).scalar()

@@ -21,9 +21,9 @@ def scored(predictions: DataFrame, vector: str = "rawPrediction", score: str = "
 
 
 def threshold_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Per distinct score, from high to low: rows of each class at it, and at or above it.
+    """Per distinct score, from high to low: rows of each class at it, at or above it, and in all.
 
-    Columns ``threshold``, ``pos``, ``neg``, ``run_pos``, ``run_neg``.
+    Columns ``threshold``, ``pos``, ``neg``, ``run_pos``, ``run_neg``, ``total_pos``, ``total_neg``.
     """
     at = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -62,14 +62,12 @@ def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> Da
 
 def curve_points(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Per threshold: ``fpr`` and ``tpr`` of the ROC curve, ``recall`` and ``precision`` of the PR curve."""
-    counts = threshold_counts(df, score, label)
-    total = counts.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
     tp, fp = F.col("run_pos"), F.col("run_neg")
-    return counts.select(
+    return threshold_counts(df, score, label).select(
         "threshold",
-        F.try_divide(fp, total["neg"]).alias("fpr"),
-        F.try_divide(tp, total["pos"]).alias("tpr"),
-        F.try_divide(tp, total["pos"]).alias("recall"),
+        F.try_divide(fp, "total_neg").alias("fpr"),
+        F.try_divide(tp, "total_pos").alias("tpr"),
+        F.try_divide(tp, "total_pos").alias("recall"),
         (tp / (tp + fp)).alias("precision"),
     )
 

@@ -96,11 +96,6 @@ def five_numbers(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     """
     counted = _stacked(df, columns, [by]).groupBy("column", by, "value").agg(F.count("*").alias("n"))
     ranked = running_totals(counted, "value", ["n"], ["column", by])
-    sizes = counted.groupBy("column", by).agg(F.sum("n").alias("__size"))
-    same = (F.col("column") == F.col("__column")) & F.col(by).eqNullSafe(F.col("__by"))
-    placed = ranked.join(
-        sizes.select(F.col("column").alias("__column"), F.col(by).alias("__by"), "__size"), same
-    )
     # A value covers the zero-based ranks from run_n - n to run_n - 1.
     first, last = F.col("run_n") - F.col("n"), F.col("run_n") - 1
 
@@ -108,12 +103,12 @@ def five_numbers(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
         return F.max(F.when(rank.between(first, last), F.col("value")))
 
     def quartile(p: float):
-        position = (F.col("__size") - 1) * F.lit(p)
+        position = (F.col("total_n") - 1) * F.lit(p)
         low, high = at(F.floor(position)), at(F.ceil(position))
         fraction = F.max(position - F.floor(position))
         return low + (high - low) * fraction
 
-    return placed.groupBy("column", by).agg(
+    return ranked.groupBy("column", by).agg(
         F.min("value").alias("min"),
         quartile(0.25).alias("q1"),
         quartile(0.5).alias("median"),
