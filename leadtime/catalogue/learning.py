@@ -127,7 +127,7 @@ def l1_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    trials = explore(line_parts(spark, sf_dir), LINE_COLUMNS, [kind]).trials[kind]
+    trials = explore(line_parts(spark, sf_dir), LINE_COLUMNS, [kind], score=False).trials[kind]
     return learn.trial_table(spark, trials)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadtime.functions.casts import text_to_int
+
 HOUR = 3600
 DAY = 86_400
 
@@ -14,7 +16,7 @@ def hhmm_to_minutes(hhmm: Column) -> Column:
 
     "2400" is 1440, the end of the day.
     """
-    number = hhmm.try_cast("int")
+    number = text_to_int(hhmm.cast("string"))
     return F.floor(number / 100).cast("int") * 60 + number % 100
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadtime.functions.casts import fitting
+
 
 def typed_select(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """The columns named in ``types``, cast, in the order of ``df``.
@@ -16,7 +18,7 @@ def typed_select(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     missing = [name for name in types if name not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    return df.select(*[F.col(c).try_cast(types[c]).alias(c) for c in df.columns if c in types])
+    return df.select(*[fitting(F.col(c), t, types[c]).alias(c) for c, t in df.dtypes if c in types])
 
 
 def feature_columns(

@@ -27,6 +27,17 @@ def _named(columns: Sequence[str], suffix: str) -> list[str]:
     return [c + suffix for c in columns]
 
 
+def check_levels(df: DataFrame, categoricals: Sequence[str], limit: int = 100_000) -> None:
+    """Refuse categories with more levels than a model, and the driver that keeps their list, should hold.
+
+    One approximate count over all of them. Folding rare levels brings the number down.
+    """
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categoricals]).first().asDict()
+    too_many = {c: n for c, n in counts.items() if n > limit}
+    if too_many:
+        raise ValueError(f"more than {limit} levels, fold rare ones first: {too_many}")
+
+
 def category_indexer(categoricals: Sequence[str]) -> StringIndexer:
     """``<c>_idx`` per category: 0 for the most frequent level, an index of its own for unseen and null."""
     return StringIndexer(

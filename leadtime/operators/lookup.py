@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadtime.functions.casts import text_to_int
 from leadtime.functions.clock import HOUR
 
 BROADCAST_ROWS = 200_000
@@ -57,17 +58,17 @@ def rank_features(
 
 
 def keep_known(df: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``known``; one row stays one row."""
-    keys = known.select(F.col(known_key).alias("__key"))
+    """Rows of ``df`` whose key occurs in ``known``; one row stays one row.
+
+    The known keys are made distinct before they are moved, so a hot one costs one row.
+    """
+    keys = known.select(F.col(known_key).alias("__key")).distinct()
     return df.join(keys, F.col(key) == F.col("__key"), "left_semi")
 
 
 def keys_in_use(lookup: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
-    """Lookup entries whose key occurs in ``table``.
-
-    The keys of ``table`` are made distinct before they are moved, so a hot key costs one row.
-    """
-    return keep_known(lookup, key, table.select(table_key).distinct(), table_key)
+    """Lookup entries whose key occurs in ``table``, however large and skewed that is."""
+    return keep_known(lookup, key, table, table_key)
 
 
 def within_bounds(df: DataFrame, time: str, other: DataFrame, other_time: str, before: int = 4 * HOUR) -> DataFrame:
@@ -96,7 +97,7 @@ def station_zones(
     """
     lat, lon = (F.col(c).try_cast("double") for c in ("lat", "lon"))
     usable = stations.select(F.concat("usaf", "wban").alias("station"), call, "lat", "lon", "end").where(
-        (lat != 0) & (lon != 0) & (F.col("end").try_cast("int") >= min_date)
+        (lat != 0) & (lon != 0) & (text_to_int(F.col("end")) >= min_date)
     )
-    in_use = keys_in_use(usable, call, calls, call).select("station", call).dropDuplicates(["station"])
+    in_use = keys_in_use(usable, call, calls, call).groupBy("station").agg(F.min(call).alias(call))
     return looked_up(in_use, "station", zones, "station", {c: c for c in columns})

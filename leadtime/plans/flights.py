@@ -144,8 +144,7 @@ def with_weather(flights: DataFrame, readings: DataFrame, *, exact: bool = False
     The nearest-hour form finds ages of two to three hours and part of the next hour; ``exact``
     finds all from two to four.
     """
-    bounded = within_bounds(readings, "WEATHER_TIMESTAMP", flights, "AIRLINE_TIMESTAMP", 4 * HOUR)
-    useful = keep_known(bounded, "CALL_SIGN", flights.select("AIRLINE_CALL").distinct(), "AIRLINE_CALL")
+    useful = within_bounds(readings, "WEATHER_TIMESTAMP", flights, "AIRLINE_TIMESTAMP", 4 * HOUR)
     left = flights.withColumn("CALL_SIGN", F.col("AIRLINE_CALL"))
     tie = [c for c in useful.columns if c not in ("CALL_SIGN", "WEATHER_TIMESTAMP")]
     sides = (left, useful, "CALL_SIGN", "AIRLINE_TIMESTAMP", "WEATHER_TIMESTAMP", tie)
@@ -223,7 +222,8 @@ def joined_flights(sources: Sources, *, exact: bool = False) -> DataFrame:
         columns=located,
     )
     readings = local_readings(clean_reports(sources.weather), stations)
-    return with_weather(with_call(flights, codes), readings, exact=exact)
+    at_origins = keep_known(readings, "CALL_SIGN", codes, "CALL")
+    return with_weather(with_call(flights, codes), at_origins, exact=exact)
 
 
 def run(

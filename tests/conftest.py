@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -18,7 +17,6 @@ def spark():
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
-            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="leadtime-tests-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

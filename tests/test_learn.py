@@ -32,6 +32,13 @@ def test_category_index_by_frequency_then_name_and_unseen_last(spark):
     assert [r.v for r in slots] == [[1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 0, 0], [0, 0, 0]]
 
 
+def test_too_many_levels_are_refused(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) as c", "'x' as d")
+    learn.check_levels(df, ["c", "d"])
+    with pytest.raises(ValueError, match="'c'"):
+        learn.check_levels(df, ["c", "d"], limit=100)
+
+
 def test_null_numbers_are_an_error(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "c string, x double")
     with pytest.raises(Exception):
