@@ -159,3 +159,18 @@ def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 10")
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value"), [F.asc("event_id")], 10)
+
+
+@query(
+    """
+SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END
+       AS level, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS final_price
+FROM orders"""
+)
+def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus").select(
+        "o_orderkey",
+        F.when(price > 400_000, "high").when(price > 100_000, "middle").otherwise("low").alias("level"),
+        F.when(F.col("o_orderstatus") == "F", price).alias("final_price"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadtime.catalogue.registry import EVENTS_SQL, query, table, timed_events
 from leadtime.functions.cyclic import cyclic
-from leadtime.operators.balance import oversample_minority
+from leadtime.operators.balance import oversample_minority, repeat_rows
 from leadtime.operators.history import previous_outcome
 from leadtime.operators.levels import fold_rare_levels
 from leadtime.operators.split import PARTS, split_frames, time_split
@@ -123,3 +123,16 @@ def time_part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         frames[p].agg(F.lit(p).alias("part"), F.count("*").alias("n"), F.sum("label").alias("errors")) for p in PARTS
     ]
     return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+
+
+@query(
+    """
+SELECT s_suppkey, s_nationkey FROM supplier, range(3) UNION ALL SELECT n_nationkey, n_regionkey FROM nation"""
+)
+def repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers three times over, then nations, all kept."""
+    suppliers = repeat_rows(table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey"), 3)
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("s_suppkey"), F.col("n_regionkey").alias("s_nationkey")
+    )
+    return suppliers.unionByName(nations)

@@ -109,6 +109,18 @@ def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+WITH y AS (SELECT doc_id, toxic FROM labels),
+i AS (SELECT toxic, row_number() OVER (ORDER BY count(*) DESC, CAST(toxic AS VARCHAR)) - 1 AS idx FROM y GROUP BY toxic)
+SELECT doc_id, toxic, CAST(idx AS DOUBLE) AS by_frequency, CAST(toxic AS DOUBLE) AS label FROM y JOIN i USING (toxic)"""
+)
+def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by falling frequency, and as they are."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return learn.with_label(learn.label_indexer("toxic", "by_frequency").fit(labels).transform(labels), "toxic")
+
+
 @query()
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training part, encoded, assembled and scaled."""

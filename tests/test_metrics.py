@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.sql import functions as F
 
 from leadtime.operators import metrics
 from leadtime.operators.profile import correlations, five_numbers, histograms
