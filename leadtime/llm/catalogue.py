@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadtime.llm.mixing import mix, taken
 from leadtime.llm.quality_rules import quality_rules
 from leadtime.llm.sharding import even_tree, shard_documents
 from leadtime.llm.simhash import simhash_groups
@@ -32,6 +33,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir, "doc_id", "text", "source"), weights=(5, 2, 1), cap=3, block_words=64)
+    return taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = even_tree(16, racks=2, per_rack=4)
