@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadtime.llm.language import held_out, identify_languages
 from leadtime.llm.mixing import mix, taken
+from leadtime.llm.packing import pack_documents
 from leadtime.llm.quality_rules import quality_rules
 from leadtime.llm.sharding import even_tree, shard_documents
 from leadtime.llm.simhash import simhash_groups
@@ -27,6 +29,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(documents(spark, sf_dir, "doc_id", "text"), width=3, distance=2)
@@ -39,6 +47,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = even_tree(16, racks=2, per_rack=4)
@@ -48,6 +64,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = identify_languages(docs.select("doc_id", "text"), docs.where(~held_out(F.col("doc_id"), 4)))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir, "doc_id", "text")).drop("cleaned")
