@@ -13,6 +13,7 @@ from leadtime.llm.packing import pack_documents
 from leadtime.llm.quality_rules import quality_rules
 from leadtime.llm.sharding import even_tree, shard_documents
 from leadtime.llm.simhash import simhash_groups
+from leadtime.llm.substrings import remove_repeated
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +72,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    freed = remove_repeated(documents(spark, sf_dir, "doc_id", "text"), length=200)
+    return freed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir, "doc_id", "text")).drop("cleaned")
