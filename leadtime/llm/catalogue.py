@@ -11,6 +11,7 @@ from leadtime.llm.language import held_out, identify_languages
 from leadtime.llm.mixing import mix, taken
 from leadtime.llm.packing import pack_documents
 from leadtime.llm.quality_rules import quality_rules
+from leadtime.llm.resampling import resample
 from leadtime.llm.sharding import even_tree, shard_documents
 from leadtime.llm.simhash import simhash_groups
 from leadtime.llm.substrings import remove_repeated
@@ -56,6 +57,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return resample(documents(spark, sf_dir, "doc_id", "text"), labels).drop("text_hash")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = even_tree(16, racks=2, per_rack=4)
