@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadtime.llm.embeddings import near_vectors
 from leadtime.llm.language import held_out, identify_languages
 from leadtime.llm.mixing import mix, taken
 from leadtime.llm.packing import pack_documents
@@ -57,6 +58,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+
+
 @query
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
