@@ -75,3 +75,18 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, cop
     return numbered.alias("l").join(starts.alias("r"), same).select(
         *[f"l.{c}" for c in df.columns], (F.col("l.__in") + F.col("r.__start")).alias("first")
     )
+
+
+def in_blocks(placed: DataFrame, cell: Sequence[str], spread: Sequence[str], size: int) -> DataFrame:
+    """Rows of crowded cells in pairs of blocks, to be compared group by group of ``cell``, ``low`` and ``high``.
+
+    A cell's rows fall by a hash of ``spread`` into blocks of about ``size``; every pair of blocks,
+    also a block with itself, is a group of two blocks at most. ``own`` is the row's block. Cells
+    of one row are left out.
+    """
+    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("blocks"), F.count("*").alias("held"))
+    blocked = placed.join(sizes.where("held > 1").drop("held"), list(cell)).withColumn(
+        "own", F.pmod(F.xxhash64(*spread), F.col("blocks")).cast("int")
+    )
+    other = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def least_tied(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` items of one block, the least item that the links ``a``-``b`` reach."""
+    root = np.arange(n)
+    while len(a):
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == before).all():
+            break
+    return root

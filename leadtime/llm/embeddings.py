@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadtime.llm.components import connected_components
-from leadtime.llm.common import written
+from leadtime.llm.common import in_blocks, written
+from leadtime.llm.components import connected_components, least_tied
 from leadtime.session import cut_lineage
 
 #: Vectors that a cell should hold on average, and that a task compares with as many others at a time.
@@ -103,12 +103,7 @@ def _links(nodes: DataFrame, cosine: float, recall: float, seed: int) -> DataFra
     rows = nodes.select("node", "embedding", "n").mapInArrow(coded, f"node {kind}, embedding {element}, n long, codes array<bigint>")
     placed = rows.select("*", F.size("embedding").alias("dim"), F.posexplode("codes").alias("grouping", "cell"))
     cell = ["dim", "grouping", "cell"]
-    sizes = placed.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("held"))
-    blocked = placed.join(sizes.where("held > 1").drop("held"), cell).withColumn("own", F.pmod(F.xxhash64("node", "codes"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = blocked.select(*cell, "node", "embedding", "n", "codes", "own", other).select(
-        *cell, "node", "embedding", "n", "codes", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    )
+    paired = in_blocks(placed, cell, ["node", "codes"], BLOCK)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -128,14 +123,7 @@ def _links(nodes: DataFrame, cosine: float, recall: float, seed: int) -> DataFra
         new = np.concatenate([(codes[a[i : i + 65536]] == codes[b[i : i + 65536]]).argmax(1) == at for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
         a, b = a[new], b[new]
         links = np.bincount(a, weight[b], len(x)) + np.bincount(b, weight[a], len(x))
-        root = np.arange(len(x))
-        while len(a):
-            before = root.copy()
-            np.minimum.at(root, a, root[b])
-            np.minimum.at(root, b, root[a])
-            root = root[root]
-            if (root == before).all():
-                break
+        root = least_tied(len(x), a, b)
         tied = np.flatnonzero(links)
         nodes = table["node"].combine_chunks()
         return pa.table({"node": nodes.take(pa.array(tied)), "links": pa.array(links[tied].astype(np.int64)), "root": nodes.take(pa.array(root[tied]))})

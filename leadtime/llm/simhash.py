@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, repeat
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import text_pieces, written
-from leadtime.llm.components import connected_components
+from leadtime.llm.common import in_blocks, text_pieces, written
+from leadtime.llm.components import connected_components, least_tied
 from leadtime.session import cut_lineage
 
 BITS = 64
@@ -134,16 +135,125 @@ def simhash_groups(docs: DataFrame, *, width: int = 3, distance: int = 2, blocks
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` left when one document of each group of near copies stays: the smallest doc_id.
+def differing_share(similarity: float) -> float:
+    """Share of bits in which SimHashes of shingle sets of this Jaccard similarity differ, on average."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_groups(
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, words: int = 4, recall: float = 0.95, seed: int = 5
+) -> DataFrame:
+    """``doc_id``, ``similar_id``: for near copies by shingle ``similarity``, the smallest doc_id of the group.
+
+    Two bits of 64 tell nearly equal texts; a similarity of 0.8 turns about one bit in seven, so here
+    fingerprints have ``words`` times 64 bits, and pairs link that differ in as few as ``recall`` of
+    such pairs do. No deal of so many turned bits over blocks leaves a long block whole for certain:
+    blocks are sets of bits drawn at random, of a size at which about four unlike texts share one,
+    and as many that a pair at ``similarity`` shares one with probability ``recall``. Blocks of more
+    than ``CROWD`` are compared in pieces, each of which ties its texts to the least one found.
+
+    Texts without a word link with nothing, and rows without a doc_id are left out. Rows that
+    repeat a doc_id count as one document.
+    """
+    bits, share = BITS * words, differing_share(similarity)
+    spread = 1.645 * sqrt(share * (1 - share) / bits)
+    limit = int((share + spread) * bits)
+    known = docs.where(F.col("doc_id").isNotNull())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [wide_fingerprint(text.as_py(), width, words) for text in batch.column(1)]
+            kept = [i for i, p in enumerate(prints) if p is not None]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([prints[i] for i in kept], pa.binary())], ["doc_id", "fp"]
+            )
+
+    prints = written(known.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(of, f"doc_id {kind}, fp binary"))
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    block_bits = max(8, int(log2(max(fps.count(), 1))) - 1)
+    together = (1 - share) ** block_bits
+    blocks = ceil(log(1 - recall) / log(1 - together))
+    chosen = np.stack([np.random.default_rng([seed, i]).choice(bits, block_bits, replace=False) for i in range(blocks)])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, bits // 8)
+            ones = np.unpackbits(raw, axis=1, bitorder="little")
+            found = np.stack([ones[:, some] @ (1 << np.arange(block_bits, dtype=np.int64)) for some in chosen], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, blocks), pa.int32()), pa.array(found.ravel()))
+            parts = [pa.array(np.ascontiguousarray(part)) for part in raw.view("<i8").T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *parts], ["node", "keys", *names])
+
+    names = [f"w{i}" for i in range(words)]
+    coded = fps.select("node", "fp").mapInArrow(keys, f"node {kind}, keys array<bigint>, " + ", ".join(f"{n} long" for n in names))
+    placed = coded.select("node", *names, F.posexplode("keys").alias("choice", "block"))
+    shared = placed.groupBy("choice", "block").agg(F.count("*").alias("held")).where("held > 1")
+    met = placed.join(shared, ["choice", "block"])
+    few, many = met.where(F.col("held") <= CROWD), met.where(F.col("held") > CROWD).drop("held")
+    x, y = few.alias("x"), few.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
+    pairs = x.join(
+        y,
+        (F.col("x.choice") == F.col("y.choice")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (apart <= limit),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    def tie(table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy()
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        prints = np.stack([table[n].to_numpy().view(np.uint64) for n in names], axis=1)
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        a, b = np.nonzero(sum(np.bitwise_count(prints[left, i][:, None] ^ prints[right, i][None, :]).astype(np.int16) for i in range(words)) <= limit)
+        a, b = left[a], right[b]
+        root = least_tied(len(own), a, b)
+        tied = np.flatnonzero(root != np.arange(len(own)))
+        nodes = table["node"].combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(tied)), "b": nodes.take(pa.array(root[tied]))})
+
+    paired = in_blocks(many, ["choice", "block"], ["node"], 512)
+    ties = paired.groupBy("choice", "block", "low", "high").applyInArrow(tie, f"a {kind}, b {kind}")
+    same = prints.join(fps, "fp").select("doc_id", "node").distinct()
+    equal = same.where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = written(pairs.union(ties).distinct()).union(equal)
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("similar_id"))
+
+
+def wide_fingerprint(text: bytes | None, width: int, words: int) -> bytes | None:
+    """SimHash of ``words`` times 64 bits over the set of word shingles; None for a text without words."""
+    ones, n, rest, seen = np.zeros((words, BITS), np.int64), 0, [], set()
+    for piece in text_pieces((text or b"").lower()):
+        found = rest + piece.split()
+        shingles = [b" ".join(s) for s in zip(*(found[i:] for i in range(width)))]
+        rest = found[len(found) - width + 1 :] if shingles else found
+        seen.update(map(xxhash.xxh3_64_intdigest, shingles))
+    if not seen and rest:
+        seen.add(xxhash.xxh3_64_intdigest(b" ".join(rest)))
+    if not seen:
+        return None
+    hashes = np.fromiter(seen, np.uint64, len(seen))
+    for start in range(0, len(hashes), 1 << 14):
+        some = hashes[start : start + (1 << 14)]
+        n += len(some)
+        for i in range(words):
+            # One hash of the shingle is mixed on to as many as are needed.
+            mixed = (some + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))).copy()
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                mixed ^= mixed >> np.uint64(shift)
+                mixed *= np.uint64(factor)
+            mixed ^= mixed >> np.uint64(31)
+            ones[i] += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones.ravel() * 2 > n, bitorder="little").tobytes()
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` left when one document of each group of near copies (``wide_groups``) stays: the smallest doc_id.
 
     Where rows repeat that doc_id, the one with the smallest other columns stays. Rows without a
-    doc_id cannot be named by a group and all stay.
+    doc_id cannot be named by a group and all stay, and so do texts without words.
     """
-    groups = simhash_groups(docs, width=width, distance=distance)
-    first = groups.select("component_id").distinct().withColumnRenamed("component_id", "__kept")
+    gone = wide_groups(docs, width=width, similarity=similarity).where("doc_id != similar_id").select(F.col("doc_id").alias("__gone"))
     others = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.join(first, docs["doc_id"] == first["__kept"], "left_semi")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     kept = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
     return kept.select(*["doc_id" if c == "doc_id" else F.col("__row").getField(c).alias(c) for c in docs.columns]).union(
         docs.where(F.col("doc_id").isNull())

@@ -336,7 +336,7 @@ def _without(text: bytes, spans: list[tuple[int, int]], whole_characters: bool)
     return b"".join([*kept, text[at:]])
 
 
-def remove_repeated(docs: DataFrame, *, length: int = 200) -> DataFrame:
+def remove_repeated(docs: DataFrame, *, length: int = 200, count: str | None = None) -> DataFrame:
     """Every row of ``docs`` with its text freed of strings of ``length`` bytes that start anywhere else too.
 
     Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``spans``,
@@ -344,7 +344,8 @@ def remove_repeated(docs: DataFrame, *, length: int = 200) -> DataFrame:
     by the remaining text; there, a character is removed only if all its bytes are. Every copy is
     removed, the first too, and strings are judged on the texts as they came. Strings never cross
     texts. Null and empty texts have nothing to remove and stay as they are. A row and its repetition
-    are two places; rows are told apart by doc_id, which may be null, and text.
+    are two places; rows are told apart by doc_id, which may be null, and text. The column ``count``, if
+    there, becomes the number of characters that remain.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
     runs = repeated_runs(keyed, length)
@@ -371,4 +372,5 @@ def remove_repeated(docs: DataFrame, *, length: int = 200) -> DataFrame:
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *others])
     schema = f"text string, n_bytes long, n_removed long, n_spans long, spans array<struct<low: bigint, high: bigint>>, kept_sha256 string, {fields}"
-    return joined.mapInArrow(of, schema)
+    freed = joined.mapInArrow(of, schema)
+    return freed.withColumn(count, F.length("text").cast(docs.schema[count].dataType)) if count in docs.columns else freed
