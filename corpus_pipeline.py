@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leadtime.llm.catalogue import tokenizer_path
-from leadtime.llm.common import written
+from leadtime.llm.common import ship, written
 from leadtime.llm.mixing import mixed_documents
 from leadtime.llm.packing import pack_documents
 from leadtime.llm.resampling import select_quality
@@ -52,6 +52,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

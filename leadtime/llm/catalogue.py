@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadtime.llm.common import ship
 from leadtime.llm.embeddings import near_vectors
 from leadtime.llm.language import held_out, identify_languages
 from leadtime.llm.mixing import mix, taken
 from leadtime.llm.packing import pack_documents
 from leadtime.llm.quality_rules import quality_rules
 from leadtime.llm.resampling import resample
+from leadtime.llm.scoring import score_documents
 from leadtime.llm.sharding import even_tree, shard_documents
 from leadtime.llm.simhash import simhash_groups
 from leadtime.llm.substrings import remove_repeated
@@ -24,8 +27,13 @@ ORACLE: dict[str, str] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = shipped
+    return shipped
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -91,6 +99,13 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    scored = score_documents(docs, docs.where(~held_out(F.col("doc_id"), 7)))
+    return scored.withColumn("held_out", held_out(F.col("doc_id"), 7))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir, "doc_id", "text")).drop("cleaned")

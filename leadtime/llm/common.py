@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadtime.session import shared_folder
@@ -21,6 +25,25 @@ PIECE_BYTES = 1 << 20
 SLICE_ROWS = 50_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for sessions started without it."""
+    context = spark.sparkContext
+    if any(f.endswith("/leadtime_llm.zip") for f in context._python_includes) or "leadtime_llm.zip" in context._python_includes:
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    path = os.path.join(tempfile.mkdtemp(prefix="leadtime-"), "leadtime_llm.zip")
+    with open(path, "wb") as file:
+        file.write(packed.getvalue())
+    context.addPyFile(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 

@@ -26,9 +26,9 @@ GRAM = 32
 CHUNK = 1 << 21
 BLOCK = 1 << 18
 #: Different pieces of one name that are sorted together; beyond, they are cut finer first.
-CROWD = 256
+CROWD = 1024
 #: Starts to a piece at the finer levels; one start to a piece leaves nothing to sort.
-FINER = (8, 1)
+FINER = (48, 8, 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -230,10 +230,9 @@ def _finer(kinds: DataFrame, length: int, starts: int) -> DataFrame:
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = length - GRAM + 1
         for batch in batches:
             rows = []
-            for owner, content, gram, low, n, text in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            for owner, owned, gram, n, text in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 hashes = gram_hashes(np.frombuffer(text, np.uint8)).view(np.int64)
                 places = np.flatnonzero(hashes == gram)
                 begin = np.arange(len(text) - length + 1)
@@ -244,55 +243,46 @@ def _finer(kinds: DataFrame, length: int, starts: int) -> DataFrame:
                     middle = int(place[a] - step[a] * starts)
                     name = xxhash.xxh3_64_intdigest(text[middle : middle - starts + 1 + length], seed=int(step[a]) + (starts << 32))
                     part = text[a : b + length - 1]
-                    rows.append((_signed(name), _signed(xxhash.xxh3_64_intdigest(part, seed=1)), gram, owner, content, low + a, n, part))
+                    rows.append((_signed(name), _signed(xxhash.xxh3_64_intdigest(part, seed=1)), gram, owner, owned, int(a), n, part))
             if rows:
-                columns = list(zip(*rows))
                 kinds = [pa.int64()] * 7 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "content", "gram", "owner", "owned", "at", "n", "text"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["name", "content", "gram", "owner", "owned", "at", "n", "text"]
                 )
-        assert width > starts
 
     schema = "name long, content long, gram long, owner long, owned long, at long, n long, text binary"
-    return kinds.select("owner", "owned", "gram", "at", "n", "text").mapInArrow(of, schema)
+    return kinds.select("name", "content", "gram", "n", "text").mapInArrow(of, schema)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _marks(kinds: DataFrame, length: int) -> DataFrame:
+def _marks(kinds: DataFrame, length: int, finer: tuple[int, ...] = FINER) -> DataFrame:
     """``name``, ``content``, ``low``, ``high``: which starts of each different piece repeat.
 
     Names with up to ``CROWD`` different pieces are suffix-sorted. Beyond that the pieces are cut
-    finer, which parts those that share no more than the gram, folds those that are equal, and is
-    repeated; where a piece holds one string, equal pieces are all there is to find.
+    finer, which parts those that share no more than the gram; equal ones are folded and the same
+    is done to them. Where a piece holds one string, its equals are all there is to find.
     """
-    level = kinds.withColumns({"gram": F.col("name"), "owner": F.col("name"), "owned": F.col("content"), "at": F.lit(0).cast("long")})
-    found = []
-    for starts in (*FINER, None):
-        folded = level.groupBy("name", "content").agg(F.sum("n").alias("n"), F.max("twice").alias("twice"), F.first("text").alias("text"))
-        folded = cut_lineage(folded) if found else folded
-        names = cut_lineage(
-            folded.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("places"), F.max("twice").alias("twice")).where("places > 1 or twice")
-        )
-        alike = level.join(names.where("kinds = 1 and not twice").select("name"), "name", "left_semi")
-        found.append(alike.select("owner", "owned", F.col("at").alias("low"), (F.col("at") + F.length("text") - length).alias("high")))
-        some = names.where(f"(kinds > 1 or twice) and kinds <= {CROWD}").select("name")
-        runs = _sorted_marks(folded.join(some, "name", "left_semi"), length)
-        found.append(
-            level.select("name", "content", "owner", "owned", "at").join(runs, ["name", "content"]).select(
-                "owner", "owned", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")
-            )
+    names = cut_lineage(
+        kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("places"), F.max("twice").alias("twice")).where("places > 1 or twice")
+    )
+    alike = kinds.join(names.where("kinds = 1 and not twice").select("name"), "name", "left_semi")
+    found = alike.select("name", "content", F.lit(0).cast("long").alias("low"), (F.length("text") - length).cast("long").alias("high"))
+    some = names.where(f"(kinds > 1 or twice) and kinds <= {CROWD}").select("name")
+    found = found.union(_sorted_marks(kinds.join(some, "name", "left_semi"), length))
+    crowded = names.where(F.col("kinds") > CROWD).select("name")
+    if not finer or crowded.isEmpty():
+        return found
+    parts = written(_finer(kinds.join(crowded, "name", "left_semi"), length, finer[0]))
+    folded = parts.groupBy("name", "content").agg(F.sum("n").alias("n"), F.first("gram").alias("gram"), F.first("text").alias("text"))
+    inner = _marks(written(folded.withColumn("twice", F.lit(False))), length, finer[1:])
+    return found.union(
+        parts.select("name", "content", "owner", "owned", "at").join(inner, ["name", "content"]).select(
+            F.col("owner").alias("name"), F.col("owned").alias("content"), (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")
         )
-        crowded = names.where(F.col("kinds") > CROWD).select("name")
-        if starts is None or crowded.isEmpty():
-            break
-        level = written(_finer(level.join(crowded, "name", "left_semi"), length, starts)).withColumn("twice", F.lit(False))
-    union = found[0]
-    for more in found[1:]:
-        union = union.union(more)
-    return union.select(F.col("owner").alias("name"), F.col("owned").alias("content"), "low", "high")
+    )
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -305,7 +295,8 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     met = written(all_pieces.join(names, "name"))
     alike = met.where("alike").select("doc_id", "text_hash", F.col("start").alias("low"), (F.col("start") + F.col("starts") - 1).alias("high"))
     parting = met.where("not alike")
-    marks = _marks(written(_texts(parting, docs, length)), length)
+    kinds = written(_texts(parting, docs, length).withColumn("gram", F.col("name")))
+    marks = _marks(kinds, length)
     marked = parting.join(marks, ["name", "content"]).select(
         "doc_id", "text_hash", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")
     )
