@@ -203,7 +203,7 @@ def score_texts(model: GruModel, texts: list[np.ndarray], *, lanes: int = 256, s
 class Trainer:
     """Adam over windows of a stream of texts, the state carried on between a text's windows."""
 
-    def __init__(self, model: GruModel, *, rate: float = 0.003):
+    def __init__(self, model: GruModel, *, rate: float = 0.006):
         self.model, self.rate, self.n, self.tokens = model, rate, 0, 0
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.parameters.items()}
 
@@ -214,13 +214,14 @@ class Trainer:
             _, after, grads = self.model.window(ids, targets, mask, state[live], True)
             state[live] = after
             self.tokens += int(mask.sum())
-            self._step(grads)
+            # Windows that few texts are left to fill must not outweigh full ones.
+            self._step(grads, mask.sum() / (lanes * steps))
 
-    def _step(self, grads: Parameters) -> None:
+    def _step(self, grads: Parameters, weight: float) -> None:
         self.n += 1
         norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values()))
         clip = min(1.0, 1.0 / (norm + 1e-8))
-        rate = self.rate * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
+        rate = self.rate * weight * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, g in grads.items():
             first, second = self.moments[k]
             g = g * np.float32(clip)
