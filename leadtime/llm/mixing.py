@@ -163,9 +163,9 @@ def mixed_documents(docs: DataFrame, *, cap: int = 3, **options) -> DataFrame:
     rows = mixed.rows.where("size > 0").join(spans, ["rank", "start"])
     passes = rows.select(
         *[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "text_hash", "size")],
-        "spans",
-        F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["takes"])))).alias("pass"),
-    ).withColumn("spans", F.filter("spans", lambda s: s["takes"] >= F.col("pass")))
+        F.col("spans").alias("__spans"),
+        F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["takes"])))).alias("__pass"),
+    ).withColumn("__spans", F.filter("__spans", lambda s: s["takes"] >= F.col("__pass")))
     texts = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__hash"])
     joined = texts.join(
         passes,
@@ -175,9 +175,9 @@ def mixed_documents(docs: DataFrame, *, cap: int = 3, **options) -> DataFrame:
     )
     all_words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(
-        F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["offset"] + 1).cast("int"), s["words"].cast("int")))), " "
+        F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["offset"] + 1).cast("int"), s["words"].cast("int")))), " "
     )
-    held = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    held = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     result = joined.withColumn("__words", F.when(held < F.col("__size"), all_words)).withColumn(
         "text", F.when(held < F.col("__size"), some).otherwise(F.col("text"))
     )

@@ -331,7 +331,7 @@ def remove_repeated(docs: DataFrame, *, length: int = 200, count: str | None = N
     """Every row of ``docs`` with its text freed of strings of ``length`` bytes that start anywhere else too.
 
     Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``spans``,
-    ``kept_sha256`` of the remaining bytes, and the other columns of ``docs`` with ``text`` replaced
+    ``kept_sha256`` of the remaining bytes, and the columns of ``docs`` of other names with ``text`` replaced
     by the remaining text; there, a character is removed only if all its bytes are. Every copy is
     removed, the first too, and strings are judged on the texts as they came. Strings never cross
     texts. Null and empty texts have nothing to remove and stay as they are. A row and its repetition
@@ -340,9 +340,12 @@ def remove_repeated(docs: DataFrame, *, length: int = 200, count: str | None = N
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
     runs = repeated_runs(keyed, length)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    full = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("bytes", F.col("text").cast("binary"))
-    joined = _keyed_join(full, runs, "left").select("bytes", "runs", "doc_id", *others)
+    names = ["text", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
+    others = [c for c in docs.columns if c not in ("doc_id", *names)]
+    full = docs.select("doc_id", F.xxhash64("text").alias("__own"), F.col("text").cast("binary").alias("__bytes"), *others)
+    found = runs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
+    same = (full["__own"] == found["__hash"]) & full["doc_id"].eqNullSafe(found["__id"])
+    joined = full.join(found, same, "left").select("__bytes", "__runs", "doc_id", *others)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,7 +359,6 @@ def remove_repeated(docs: DataFrame, *, length: int = 200, count: str | None = N
             columns = list(zip(*rows)) if rows else [()] * 6
             span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), span, pa.string()]
-            names = ["text", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, k) for c, k in zip(columns, kinds)], *batch.columns[2:]], [*names, "doc_id", *others]
             )
