@@ -85,7 +85,7 @@ def previous_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH e AS (SELECT event_id, t, label FROM ({EVENTS_SQL})),
 r AS (SELECT greatest(1, count(*) FILTER (label = 0) // count(*) FILTER (label = 1)) AS times FROM e)
 SELECT event_id, t, label FROM e WHERE label = 0
-UNION ALL SELECT event_id, t, label FROM e, r, range(100000) AS c(i) WHERE label = 1 AND i < times""",
+UNION ALL SELECT event_id, t, label FROM (SELECT event_id, t, label, unnest(range(times)) FROM e, r WHERE label = 1)""",
     name="oversample_minority",
 )
 def oversampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def oversampled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH r AS (SELECT greatest(1, count(*) FILTER (toxic = 0) // count(*) FILTER (toxic = 1)) AS times FROM labels)
 SELECT doc_id, quality, toxic FROM labels WHERE toxic = 0
-UNION ALL SELECT doc_id, quality, toxic FROM labels, r, range(100000) AS c(i) WHERE toxic = 1 AND i < times""",
+UNION ALL SELECT doc_id, quality, toxic FROM (SELECT doc_id, quality, toxic, unnest(range(times)) FROM labels, r WHERE toxic = 1)""",
     name="oversample_labels",
 )
 def oversampled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

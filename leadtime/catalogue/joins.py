@@ -117,11 +117,11 @@ def semi_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
+SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
     name="keys_in_use",
 )
 def lookup_keys_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders", "o_custkey", "o_orderstatus").where(F.col("o_orderstatus") == "F")
+    orders = table(spark, sf_dir, "orders", "o_custkey")
     return keys_in_use(table(spark, sf_dir, "customer", "c_custkey", "c_name"), "c_custkey", orders, "o_custkey")
 
 

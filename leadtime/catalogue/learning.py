@@ -23,7 +23,7 @@ from leadtime.operators.history import previous_outcome
 from leadtime.operators.levels import fold_rare_levels
 from leadtime.operators.ranking import top
 from leadtime.operators.split import time_split
-from leadtime.plans.training import Columns, Parts, explore, linear_parts, parts_of, train_boosting
+from leadtime.plans.training import Columns, Parts, explore, linear_parts, parts_of, train_boosting, tree_parts
 from leadtime.session import shared_folder
 from leadtime.sources.stages import load_model, restage, save_model
 
@@ -58,7 +58,7 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_parts(spark: SparkSession, sf_dir: str) -> Parts:
     root = f"{shared_folder(spark)}/{uuid4().hex}"
     features = restage(line_features(spark, sf_dir), root, "lines", "proposed_features")
-    return parts_of(features, LINE_COLUMNS, tasks=spark.sparkContext.defaultParallelism).staged(root, "lines")
+    return parts_of(features, LINE_COLUMNS).staged(root, "lines")
 
 
 @query(
@@ -68,7 +68,7 @@ SELECT l_linenumber AS level, CAST(row_number() OVER (ORDER BY count(*) DESC, CA
 )
 def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem", "l_linenumber").select(F.col("l_linenumber").cast("string").alias("level"))
-    indexed = learn.category_indexer(["level"]).fit(lines).transform(lines)
+    indexed = learn.with_level_index(lines, "level", learn.level_table(lines, "level"), "level_idx")
     return indexed.groupBy(F.col("level").cast("int").alias("level"), "level_idx").agg(F.count("*").alias("n"))
 
 
@@ -99,7 +99,7 @@ def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
-    scaled = learn.linear_features([], ["l_quantity", "l_extendedprice"]).fit(lines).transform(lines)
+    scaled = learn.linear_features([], ["l_quantity", "l_extendedprice"], center=True).fit(lines).transform(lines)
     slots = vector_to_array("scaledFeatures")
     return scaled.select(
         "l_orderkey",
@@ -121,12 +121,56 @@ def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.with_label(learn.label_indexer("toxic", "by_frequency").fit(labels).transform(labels), "toxic")
 
 
-@query()
+_LINES_SQL = """
+a AS (SELECT avg(l_quantity * l_extendedprice) AS mean FROM lineitem),
+f AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey),
+cut AS (SELECT quantile_disc(n, 0.8) AS cut FROM f),
+x AS (SELECT CAST(l_linenumber AS VARCHAR) AS line, l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax,
+             CASE WHEN n <= cut THEN 'RARE' ELSE CAST(l.l_suppkey AS VARCHAR) END AS supplier,
+             epoch_us(l_shipdate) // 1000000 AS t, CAST(l_quantity * l_extendedprice > 2 * mean AS INTEGER) AS costly
+      FROM lineitem l JOIN f ON l.l_suppkey = f.l_suppkey, cut, a),
+b AS (SELECT min(t) AS first, max(t) AS last FROM x),
+s AS (SELECT x.*, CASE WHEN t <= first + floor((last - first) * CAST(0.6 AS DOUBLE)) THEN 'train'
+                       WHEN t <= first + floor((last - first) * CAST(0.8 AS DOUBLE)) THEN 'val' ELSE 'test' END AS part
+      FROM x, b),
+r AS (SELECT greatest(1, count(*) FILTER (costly = 0) // count(*) FILTER (costly = 1)) AS times FROM s WHERE part = 'train'),
+p AS (SELECT s.*, unnest(range(CASE WHEN part = 'train' AND costly = 1 THEN times ELSE 1 END)) AS copy FROM s, r)"""
+
+
+@query(
+    f"""
+WITH {_LINES_SQL},
+li AS (SELECT line, row_number() OVER (ORDER BY count(*) DESC, line) - 1 AS i FROM p WHERE part = 'train' GROUP BY line),
+su AS (SELECT supplier, row_number() OVER (ORDER BY count(*) DESC, supplier) - 1 AS i FROM p WHERE part = 'train' GROUP BY supplier),
+d AS (SELECT stddev_samp(l_quantity) AS q, stddev_samp(l_extendedprice) AS e,
+             stddev_samp(CASE WHEN li.i = 0 THEN 1.0 ELSE 0.0 END) AS line
+      FROM p JOIN li USING (line) WHERE part = 'train')
+SELECT part, costly AS label, CAST(li.i AS INTEGER) AS line_idx, CAST(su.i AS INTEGER) AS supplier_idx,
+       round(l_quantity / d.q, 4) AS quantity, round(l_extendedprice / d.e, 4) AS price,
+       round(CASE WHEN li.i = 0 THEN 1.0 ELSE 0.0 END / d.line, 4) AS first_line
+FROM p LEFT JOIN li USING (line) LEFT JOIN su USING (supplier), d"""
+)
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training part, encoded, assembled and scaled."""
+    """All parts, indexed, encoded, assembled and scaled as the training part says; some slots of the vectors."""
     parts = line_parts(spark, sf_dir)
     prepared = learn.linear_features(LINE_COLUMNS.categoricals, LINE_COLUMNS.numericals).fit(parts.train)
-    return prepared.transform(parts.train).select("label", vector_to_array("scaledFeatures").alias("features"))
+    ready = parts.through(prepared)
+    at = {a["name"]: a["idx"] for a in learn.vector_attributes(ready.train, "features")}
+    slots = vector_to_array("scaledFeatures")
+    first_line = min(i for name, i in at.items() if name.startswith("line_class"))
+    named = [
+        frame.select(
+            F.lit(part).alias("part"),
+            F.col("label").cast("int").alias("label"),
+            F.col("line_idx").cast("int").alias("line_idx"),
+            F.col("supplier_idx").cast("int").alias("supplier_idx"),
+            F.round(slots[at["l_quantity"]], 4).alias("quantity"),
+            F.round(slots[at["l_extendedprice"]], 4).alias("price"),
+            F.round(slots[first_line], 4).alias("first_line"),
+        )
+        for part, frame in (("train", ready.train), ("val", ready.val), ("test", ready.test))
+    ]
+    return named[0].union(named[1]).union(named[2])
 
 
 @query()
@@ -178,11 +222,9 @@ def gbt_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 features that count most in a forest of the default depth."""
     parts = line_parts(spark, sf_dir)
-    with linear_parts(parts, LINE_COLUMNS) as (ready, _):
-        vectors = learn.tree_features(LINE_COLUMNS.categoricals, LINE_COLUMNS.numericals, "indexedFeatures")
-        train = vectors.transform(ready.train)
-        model = learn.forest("indexedFeatures", learn.max_bins(train, "indexedFeatures")).fit(train)
-    table_ = learn.importances(spark, model.featureImportances.toArray(), train, "indexedFeatures")
+    with tree_parts(parts, LINE_COLUMNS) as (ready, _):
+        model = learn.forest("indexedFeatures", learn.max_bins(ready.train, "indexedFeatures")).fit(ready.train)
+    table_ = learn.importances(spark, model.featureImportances.toArray(), ready.train, "indexedFeatures")
     return top(table_, [F.desc("score"), F.asc("idx")], 15)
 
 
@@ -234,15 +276,16 @@ s AS (SELECT g.*, CASE WHEN t <= first + floor((last - first) * CAST(0.6 AS DOUB
                        WHEN t <= first + floor((last - first) * CAST(0.8 AS DOUBLE)) THEN 'val' ELSE 'test' END AS part
       FROM g, b),
 r AS (SELECT greatest(1, count(*) FILTER (label = 0) // count(*) FILTER (label = 1)) AS times FROM s WHERE part = 'train')
-SELECT s.* REPLACE (CASE WHEN minute_sin = 0 THEN 0.0 ELSE minute_sin END AS minute_sin)
-FROM s, r, range(100000) AS copies(i) WHERE i < CASE WHEN part = 'train' AND label = 1 THEN times ELSE 1 END"""
+SELECT * EXCLUDE (copy) FROM (
+  SELECT s.* REPLACE (CASE WHEN minute_sin = 0 THEN 0.0 ELSE minute_sin END AS minute_sin),
+         unnest(range(CASE WHEN part = 'train' AND label = 1 THEN times ELSE 1 END)) AS copy FROM s, r)"""
 
 
 @query(_EVENT_FEATURES_SQL)
 def engineered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parted = time_split(event_features(spark, sf_dir), "t", 0.6, 0.2)
-    balanced = oversample_minority(parted.where(F.col("part") == "train"), "label")
-    return balanced.unionByName(parted.where(F.col("part") != "train")).select(
+    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    features = restage(event_features(spark, sf_dir), root, "events", "proposed_features")
+    return oversample_minority(time_split(features, "t", 0.6, 0.2), "label", only=F.col("part") == "train").select(
         "event_id",
         "t",
         "label",
@@ -260,7 +303,7 @@ def delay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way on to tuned trees: one row of quality metrics of the test part."""
     root = f"{shared_folder(spark)}/{uuid4().hex}"
     features = restage(event_features(spark, sf_dir), root, "events", "proposed_features")
-    parts = parts_of(features, EVENT_COLUMNS, tasks=spark.sparkContext.defaultParallelism).staged(root, "events")
+    parts = parts_of(features, EVENT_COLUMNS).staged(root, "events")
     final = train_boosting(parts, EVENT_COLUMNS)
     scored = restage(
         metrics.scored(final.predictions).select("label", "score", "prediction"), root, "events", "predictions"

@@ -17,12 +17,12 @@ def _new_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid4().hex}"
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'", name="stage_roundtrip")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders", name="stage_roundtrip")
 def stage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     root = _new_root(spark)
-    write_stage(orders.where(F.col("o_orderstatus") == "F"), root, "orders", "original")
-    return read_stage(spark, root, "orders", "original").select("o_orderkey", "o_custkey", "o_totalprice")
+    write_stage(orders, root, "orders", "original")
+    return read_stage(spark, root, "orders", "original").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey", name="stage_once")

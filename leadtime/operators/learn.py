@@ -2,6 +2,7 @@
 
 Everything is fitted on the training part alone and with an explicit seed. What comes back to the
 driver is what a model is made of: category levels (fold rare ones first), coefficients, scores.
+``level_table`` indexes levels of any number without the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadtime.operators.running import running_totals
+
 SEED = 42
 
 
@@ -27,15 +30,22 @@ def _named(columns: Sequence[str], suffix: str) -> list[str]:
     return [c + suffix for c in columns]
 
 
-def check_levels(df: DataFrame, categoricals: Sequence[str], limit: int = 100_000) -> None:
-    """Refuse categories with more levels than a model, and the driver that keeps their list, should hold.
+def level_table(df: DataFrame, column: str) -> DataFrame:
+    """``level``, ``n`` and ``idx`` of every level: 0 for the most frequent, equals in order of their text.
 
-    One approximate count over all of them. Folding rare levels brings the number down.
+    The levels are counted, and ranked by running totals over slices, so they may be as many as they like.
     """
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categoricals]).first().asDict()
-    too_many = {c: n for c, n in counts.items() if n > limit}
-    if too_many:
-        raise ValueError(f"more than {limit} levels, fold rare ones first: {too_many}")
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.count("*").alias("n"))
+    placed = counts.select(
+        "level", "n", F.struct((-F.col("n")).alias("n"), F.col("level").cast("string").alias("text")).alias("place"), F.lit(1).cast("long").alias("one")
+    )
+    return running_totals(placed, "place", ["one"]).select("level", "n", (F.col("run_one") - 1).cast("double").alias("idx"))
+
+
+def with_level_index(df: DataFrame, column: str, levels: DataFrame, index: str) -> DataFrame:
+    """Add the index that ``levels`` gives a row's level; null for null and unseen levels."""
+    entries = levels.select(F.col("level").alias("__level"), F.col("idx").alias(index))
+    return df.join(entries, F.col(column) == F.col("__level"), "left").drop("__level")
 
 
 def category_indexer(categoricals: Sequence[str]) -> StringIndexer:
@@ -60,11 +70,11 @@ def with_label(df: DataFrame, outcome: str, label: str = "label") -> DataFrame:
     return df.withColumn(label, F.col(outcome).cast("double"))
 
 
-def linear_features(categoricals: Sequence[str], numericals: Sequence[str], *, center: bool = True) -> Pipeline:
+def linear_features(categoricals: Sequence[str], numericals: Sequence[str], *, center: bool = False) -> Pipeline:
     """Index, encode, assemble and scale to ``scaledFeatures``; also yields ``<c>_idx``.
 
-    Centering makes the vectors dense: one number per encoded level and row. With ``center=False``
-    they stay sparse. Logistic regression with an intercept finds the same weights either way.
+    Centering makes the vectors dense, one number per encoded level and row: it is meant for numbers
+    alone. Without it they stay sparse. Logistic regression with an intercept finds the same weights either way.
     """
     return Pipeline(
         stages=[

@@ -50,8 +50,10 @@ def rank_features(
 ) -> DataFrame:
     """Add the rank of each key column in ``columns`` (``{key column: new name}``).
 
-    With ``how="inner"`` a row stays only if all its keys are ranked.
+    With ``how="inner"`` a row stays only if all its keys are ranked. Small ranks are broadcast once
+    counted, so that wide rows are not shuffled onto a few hot keys.
     """
+    ranks = sized(ranks)
     for key, name in columns.items():
         df = looked_up(df, key, ranks, id, {rank: name}, how)
     return df

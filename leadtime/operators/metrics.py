@@ -36,11 +36,12 @@ def threshold_counts(df: DataFrame, score: str = "score", label: str = "label")
 def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row: exact ``auroc`` and ``aupr`` (trapezoids; the first precision reaches back to recall 0).
 
-    Each trapezoid needs only the running totals of its own row, so both areas are plain sums.
+    Each trapezoid needs only the running totals of its own row, so both areas are plain sums, of
+    doubles: products of counts outgrow integers at some three thousand million rows a class.
     An area without rows of one class is null.
     """
-    tp, fp = F.col("run_pos"), F.col("run_neg")
-    tp_before, fp_before = tp - F.col("pos"), fp - F.col("neg")
+    pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "run_pos", "run_neg"))
+    tp_before, fp_before = tp - pos, fp - neg
     precision = tp / (tp + fp)
     before = F.coalesce(F.try_divide(tp_before, tp_before + fp_before), precision)
     return (
@@ -48,13 +49,13 @@ def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> Da
         .agg(
             F.sum("pos").alias("positives"),
             F.sum("neg").alias("negatives"),
-            F.sum(F.col("neg") * (tp_before + tp) / 2).alias("__roc"),
-            F.sum(F.col("pos") * (before + precision) / 2).alias("__pr"),
+            F.sum(neg * (tp_before + tp) / 2).alias("__roc"),
+            F.sum(pos * (before + precision) / 2).alias("__pr"),
         )
         .select(
             "positives",
             "negatives",
-            F.try_divide(F.col("__roc"), F.col("positives") * F.col("negatives")).alias("auroc"),
+            F.try_divide(F.try_divide(F.col("__roc"), "positives"), "negatives").alias("auroc"),
             F.when(F.col("negatives") > 0, F.try_divide(F.col("__pr"), F.col("positives"))).alias("aupr"),
         )
     )

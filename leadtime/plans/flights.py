@@ -234,7 +234,6 @@ def run(
     *,
     exact: bool = False,
     oversample: str = "train",
-    tasks: int | None = None,
 ) -> Final:
     """All steps; stages already written under ``root/scope`` are taken as they are.
 
@@ -243,7 +242,7 @@ def run(
     ranks = stage_once(spark, root, "all", "pageranks", lambda: airport_ranks(sources.flights))
     joined = stage_once(spark, root, scope, "original", lambda: joined_flights(sources, exact=exact))
     features = stage_once(spark, root, scope, "proposed_features", lambda: proposed_features(joined, ranks))
-    parts = parts_of(features, FEATURES, oversample=oversample, tasks=tasks).staged(root, scope)
+    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, scope)
     final = train_boosting(parts, FEATURES)
     save_model(final.model, root, f"{scope}_boosting")
     scored = restage(

@@ -103,7 +103,7 @@ def test_offsets_in_place_of_zones(spark, sources):
 def test_whole_flow(spark, sources, tmp_path, monkeypatch):
     monkeypatch.setattr(learn, "BOOSTING_GRID", {"maxDepth": [3], "stepSize": [0.3]})
     root = str(tmp_path)
-    final = plan.run(spark, sources, root, "small", tasks=2)
+    final = plan.run(spark, sources, root, "small")
     assert final.trials[0].auroc > 0.8
     features = spark.read.parquet(f"{root}/small/proposed_features")
     assert features.columns == [*plan.FEATURES.categoricals, *plan.FEATURES.numericals, "AIRLINE_TIMESTAMP", "DEP_DEL15"]
@@ -115,5 +115,5 @@ def test_whole_flow(spark, sources, tmp_path, monkeypatch):
     assert final.predictions.count() == spark.read.parquet(f"{root}/small/testData").count()
     # Everything up to the features is there already: no source is read again.
     nothing = plan.Sources(*[None] * 5, 0)
-    again = plan.run(spark, nothing, root, "small", tasks=2)
+    again = plan.run(spark, nothing, root, "small")
     assert again.trials[0].auroc == pytest.approx(final.trials[0].auroc)

@@ -32,11 +32,14 @@ def test_category_index_by_frequency_then_name_and_unseen_last(spark):
     assert [r.v for r in slots] == [[1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 0, 0], [0, 0, 0]]
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.range(1000).selectExpr("cast(id as string) as c", "'x' as d")
-    learn.check_levels(df, ["c", "d"])
-    with pytest.raises(ValueError, match="'c'"):
-        learn.check_levels(df, ["c", "d"], limit=100)
+def test_levels_of_any_number_are_indexed_as_the_indexer_does(spark):
+    df = spark.range(3000).selectExpr("cast(id % 700 as string) as c").union(spark.sql("SELECT cast(null AS string)"))
+    model = learn.category_indexer(["c"]).fit(df.na.drop())
+    levels = learn.level_table(df, "c")
+    assert [r.level for r in levels.orderBy("idx").collect()] == list(model.labelsArray[0])
+    indexed = learn.with_level_index(df, "c", levels, "i")
+    assert indexed.where("c is null and i is null").count() == 1
+    assert indexed.where("c is not null").join(model.transform(df.na.drop()).distinct(), "c").where("i <> c_idx").count() == 0
 
 
 def test_null_numbers_are_an_error(spark):

@@ -119,3 +119,15 @@ def test_correlations_skip_missing_pairs(spark):
     got = {(r.left, r.right): r.corr for r in correlations(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
     assert got[("a", "b")] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 5])[0, 1])
     assert got[("a", "c")] == pytest.approx(np.corrcoef([2, 3, 4], [1, 0, 5])[0, 1])
+
+
+def test_areas_of_thousands_of_millions_of_rows(spark, monkeypatch):
+    counts = spark.createDataFrame(
+        [(0.9, 3_000_000_000, 1_000_000_000, 3_000_000_000, 1_000_000_000), (0.1, 2_000_000_000, 5_000_000_000, 5_000_000_000, 6_000_000_000)],
+        "threshold double, pos long, neg long, run_pos long, run_neg long",
+    )
+    monkeypatch.setattr(metrics, "threshold_counts", lambda *_: counts)
+    row = metrics.curve_areas(None).first()
+    assert row.positives == 5_000_000_000 and row.negatives == 6_000_000_000
+    assert row.auroc == pytest.approx((1 * 3 / 2 + 5 * (3 + 5) / 2) / 30)
+    assert row.aupr == pytest.approx((3 * 0.75 + 2 * (0.75 + 5 / 11) / 2) / 5)
