@@ -6,6 +6,8 @@ cut by ship date. Trained models have no SQL twin; what goes into them has.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from uuid import uuid4
 
 from pyspark.ml import PipelineModel
@@ -21,7 +23,6 @@ from leadtime.operators.asof import asof_bucketed
 from leadtime.operators.balance import oversample_minority
 from leadtime.operators.history import previous_outcome
 from leadtime.operators.levels import fold_rare_levels
-from leadtime.operators.ranking import top
 from leadtime.operators.split import time_split
 from leadtime.plans.training import Columns, Parts, explore, linear_parts, parts_of, train_boosting, tree_parts
 from leadtime.session import shared_folder
@@ -173,59 +174,143 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].union(named[1]).union(named[2])
 
 
-@query()
+def _between(*columns: str) -> F.Column:
+    """Whether all of these lie between 0 and 1."""
+    return reduce(and_, [F.col(c).between(0, 1) for c in columns])
+
+
+def _part_sizes(parts: Parts) -> DataFrame:
+    """One row: rows of the training part, rows and positives of the validation part."""
+    train = parts.train.agg(F.count("*").alias("train_rows"))
+    val = parts.val.agg(F.count("*").alias("val_rows"), F.count_if(F.col("label") == 1).alias("val_positives"))
+    return train.withColumns({c: val.select(c).scalar() for c in val.columns})
+
+
+_SIZES_SQL = """count(*) FILTER (part = 'train') AS train_rows, count(*) FILTER (part = 'val') AS val_rows,
+       count(*) FILTER (part = 'val' AND costly = 1) AS val_positives"""
+
+# Slots of the encoded vector: levels by frequency in the training part, then the numbers.
+_SLOTS_SQL = f"""
+WITH {_LINES_SQL},
+o AS (SELECT 0 AS c, 'line_class_' || line AS name, row_number() OVER (ORDER BY count(*) DESC, line) AS i
+      FROM p WHERE part = 'train' GROUP BY line
+      UNION ALL
+      SELECT 1, 'l_linestatus_class_' || l_linestatus, row_number() OVER (ORDER BY count(*) DESC, l_linestatus)
+      FROM p WHERE part = 'train' GROUP BY l_linestatus
+      UNION ALL
+      SELECT 2, 'supplier_class_' || supplier, row_number() OVER (ORDER BY count(*) DESC, supplier)
+      FROM p WHERE part = 'train' GROUP BY supplier
+      UNION ALL
+      SELECT 3, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'month_sin', 'month_cos']), unnest(range(6)))
+SELECT CAST(row_number() OVER (ORDER BY c, i) - 1 AS INTEGER) AS idx, name, true AS kept_if_weighed, true AS some_kept FROM o"""
+
+
+@query(_SLOTS_SQL)
 def l1_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight of every feature slot under the L1 penalty, and whether the slot is kept."""
+    """Every feature slot, and whether the L1 penalty keeps just those it gives a weight."""
     with linear_parts(line_parts(spark, sf_dir), LINE_COLUMNS) as (ready, _):
         slicer, lasso = learn.l1_slicer(ready.train)
         weights = learn.importances(spark, lasso.coefficients.toArray(), ready.train, "features")
-    return weights.withColumn("kept", F.col("idx").isin(*slicer.getIndices()))
+    kept = F.col("idx").isin(*slicer.getIndices())
+    return weights.select(
+        "idx", "name", ((F.col("score") != 0) == kept).alias("kept_if_weighed"), F.lit(len(slicer.getIndices()) > 0).alias("some_kept")
+    )
 
 
 def _grid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    trials = explore(line_parts(spark, sf_dir), LINE_COLUMNS, [kind], score=False).trials[kind]
-    return learn.trial_table(spark, trials)
+    """The combinations in order, that exactly one is best and none better, and what they were fitted and scored on."""
+    parts = line_parts(spark, sf_dir)
+    trials = explore(parts, LINE_COLUMNS, [kind], score=False).trials[kind]
+    tried = learn.trial_table(spark, trials)
+    best_area = tried.where("best").agg(F.max("val_auroc")).scalar()
+    n_best = tried.agg(F.count_if("best")).scalar()
+    return tried.crossJoin(F.broadcast(_part_sizes(parts))).select(
+        "params",
+        _between("val_auroc", "val_aupr").alias("bounded"),
+        (F.col("val_auroc") <= best_area).alias("none_better"),
+        n_best.alias("n_best"),
+        "train_rows",
+        "val_rows",
+        "val_positives",
+    )
 
 
-@query()
+def _grid_sql(grid: dict) -> str:
+    rows = ", ".join("('" + ", ".join(f"{k}={v}" for k, v in params.items()) + "')" for params in learn.combinations_of(grid))
+    return f"""
+WITH {_LINES_SQL},
+n AS (SELECT {_SIZES_SQL} FROM p)
+SELECT params, true AS bounded, true AS none_better, CAST(1 AS BIGINT) AS n_best, n.* FROM (VALUES {rows}) g(params), n"""
+
+
+@query(_grid_sql(learn.LOGISTIC_GRID))
 def lr_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir, "logistic")
 
 
-@query()
+@query(_grid_sql(learn.FOREST_GRID))
 def rf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir, "forest")
 
 
-@query()
+@query(_grid_sql(learn.BOOSTING_GRID))
 def gbt_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir, "boosting")
 
 
-@query()
+@query(
+    f"""
+WITH {_LINES_SQL}
+SELECT model, true AS bounded, (SELECT count(*) FROM p WHERE part = 'test') AS test_rows
+FROM (VALUES ('baseline logistic'), ('tuned logistic'), ('forest'), ('boosting')) m(model)"""
+)
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per kind of model, the baseline included."""
-    return explore(line_parts(spark, sf_dir), LINE_COLUMNS).scores
+    """One row per kind of model, the baseline included; all areas are such, and better than chance on training rows."""
+    parts = line_parts(spark, sf_dir)
+    areas = ["train_auroc", "train_aupr", "test_auroc", "test_aupr"]
+    return explore(parts, LINE_COLUMNS).scores.select(
+        "model",
+        (_between(*areas) & (F.col("train_auroc") > 0.5)).alias("bounded"),
+        parts.test.agg(F.count("*")).scalar().alias("test_rows"),
+    )
 
 
-@query()
+@query(
+    f"""
+WITH {_LINES_SQL}
+SELECT CAST(costly AS DOUBLE) AS label, count(*) AS n, true AS bounded, true AS sided FROM p WHERE part = 'test' GROUP BY costly"""
+)
 def gbt_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test part scored by the tuned trees after a round trip of the model through storage."""
+    """Test rows by label, scored by the tuned trees after a round trip of the model through storage.
+
+    Probabilities are such, and the prediction is the likelier class.
+    """
     parts = line_parts(spark, sf_dir)
     root = f"{shared_folder(spark)}/{uuid4().hex}"
     save_model(train_boosting(parts, LINE_COLUMNS).model, root, "boosting")
-    scored = metrics.scored(load_model(PipelineModel, root, "boosting").transform(parts.test))
-    return restage(scored.select("label", "score", "prediction"), root, "lines", "predictions")
+    scored = metrics.scored(load_model(PipelineModel, root, "boosting").transform(parts.test), "probability")
+    written = restage(scored.select("label", "score", "prediction"), root, "lines", "predictions")
+    return written.groupBy("label").agg(
+        F.count("*").alias("n"),
+        F.every(_between("score")).alias("bounded"),
+        F.every((F.col("prediction") == 1) == (F.col("score") > 0.5)).alias("sided"),
+    )
 
 
-@query()
+@query(
+    """
+SELECT CAST(i AS INTEGER) AS idx, name, true AS bounded, true AS sum_is_one
+FROM (SELECT unnest(range(9)) AS i, unnest(['line_idx', 'l_linestatus_idx', 'supplier_idx', 'l_quantity', 'l_extendedprice',
+      'l_discount', 'l_tax', 'month_sin', 'month_cos']) AS name) WHERE EXISTS (SELECT 1 FROM lineitem)"""
+)
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15 features that count most in a forest of the default depth."""
+    """What every feature counts in a forest of the default depth; they share one."""
     parts = line_parts(spark, sf_dir)
     with tree_parts(parts, LINE_COLUMNS) as (ready, _):
         model = learn.forest("indexedFeatures", learn.max_bins(ready.train, "indexedFeatures")).fit(ready.train)
     table_ = learn.importances(spark, model.featureImportances.toArray(), ready.train, "indexedFeatures")
-    return top(table_, [F.desc("score"), F.asc("idx")], 15)
+    whole = F.abs(table_.agg(F.sum("score")).scalar() - 1) < 1e-9
+    return table_.select("idx", "name", _between("score").alias("bounded"), whole.alias("sum_is_one"))
 
 
 # Events as departures, views as readings: the whole way from as-of join to balanced training rows.
@@ -298,9 +383,14 @@ def engineered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_DELAY_SQL = _EVENT_FEATURES_SQL[: _EVENT_FEATURES_SQL.index("SELECT * EXCLUDE")] + """
+SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, true AS bounded
+FROM s WHERE part = 'test'"""
+
+
+@query(_DELAY_SQL)
 def delay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole way on to tuned trees: one row of quality metrics of the test part."""
+    """The whole way on to tuned trees: test rows by class, and whether the quality metrics of the test part are such."""
     root = f"{shared_folder(spark)}/{uuid4().hex}"
     features = restage(event_features(spark, sf_dir), root, "events", "proposed_features")
     parts = parts_of(features, EVENT_COLUMNS).staged(root, "events")
@@ -308,8 +398,11 @@ def delay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = restage(
         metrics.scored(final.predictions).select("label", "score", "prediction"), root, "events", "predictions"
     )
-    return metrics.curve_areas(scored).select(
+    measured = metrics.curve_areas(scored).select(
         "*",
         metrics.accuracy(scored).scalar().alias("accuracy"),
         metrics.false_positive_rate(scored).scalar().alias("fpr"),
     )
+    # Areas are null where the test part lacks a class.
+    lacking = (F.col("positives") == 0) | (F.col("negatives") == 0)
+    return measured.select("positives", "negatives", F.coalesce(_between("auroc", "aupr", "accuracy", "fpr"), lacking).alias("bounded"))

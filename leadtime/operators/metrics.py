@@ -76,14 +76,14 @@ def curve_points(df: DataFrame, score: str = "score", label: str = "label") -> D
 def confusion(
     df: DataFrame, prediction: str = "prediction", label: str = "label", classes: Sequence[float] = (0.0, 1.0)
 ) -> DataFrame:
-    """Rows per actual and predicted class, cells without rows included."""
+    """Rows per actual and predicted class: all cells of ``classes``, empty ones too, and any other with rows."""
     every = F.array(*[F.lit(float(c)) for c in classes])
     cells = df.sparkSession.range(1).select(F.explode(every).alias("actual"), F.lit(every).alias("__p"))
     cells = cells.select("actual", F.explode("__p").alias("predicted"))
     counts = df.groupBy(
         F.col(label).cast("double").alias("actual"), F.col(prediction).cast("double").alias("predicted")
     ).agg(F.count("*").alias("n"))
-    return cells.join(counts, ["actual", "predicted"], "left").select(
+    return cells.join(counts, ["actual", "predicted"], "full").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leadtime.functions.clock import HOUR, day_of_year, epoch_of, epoch_seconds, hhmm_to_minutes, local_epoch, shifted
 from leadtime.functions.cyclic import cyclic
 from leadtime.functions.keys import composite_key
-from leadtime.operators import metrics
+from leadtime.operators import learn, metrics
 from leadtime.operators.asof import asof_bucketed, asof_exact
 from leadtime.operators.cleaning import clean_packed, keep_equal, require
 from leadtime.operators.columns import feature_columns, typed_select
@@ -23,7 +23,7 @@ from leadtime.operators.graph import flow_edges, flow_vertices, pagerank
 from leadtime.operators.history import previous_outcome
 from leadtime.operators.levels import fold_rare_levels
 from leadtime.operators.lookup import keep_known, keys_in_use, looked_up, rank_features, station_zones, within_bounds
-from leadtime.plans.training import Columns, Final, parts_of, train_boosting
+from leadtime.plans.training import Columns, Exploration, Final, Parts, explore, parts_of, train_boosting
 from leadtime.sources.stages import restage, save_model, stage_once
 
 # Names and types of the published flight and weather tables, the layout of packed
@@ -209,9 +209,12 @@ class Sources:
     min_date: int
 
 
-def joined_flights(sources: Sources, *, exact: bool = False) -> DataFrame:
-    """Clean flights with the weather known two hours before departure."""
-    flights = clean_flights(sources.flights)
+def joined_flights(sources: Sources, *, flights: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """Clean flights with the weather known two hours before departure.
+
+    ``flights`` are the clean ones if they have been written already: they are read several times.
+    """
+    flights = clean_flights(sources.flights) if flights is None else flights
     codes = keys_in_use(sources.codes, "ORIGIN", flights, "ORIGIN")
     located = [c for c in ("zone", "offset") if c in sources.zones.columns][:1]
     stations = station_zones(
@@ -226,26 +229,109 @@ def joined_flights(sources: Sources, *, exact: bool = False) -> DataFrame:
     return with_weather(with_call(flights, codes), at_origins, exact=exact)
 
 
+# Names under which stages and models are kept.
+RANKS, CLEAN, ORIGINAL, PROPOSED = "pageranks", "flights", "original", "proposed_features"
+REDUCED = ["reducedTrainingData", "reducedValData", "reducedTestData"]
+
+
+@dataclass
+class Outcome:
+    """The tuned model with its trials and scored test rows, and what they are worth."""
+
+    final: Final
+    areas: DataFrame
+    accuracy: DataFrame
+    confusion: DataFrame
+    classes: DataFrame
+    curves: DataFrame
+    importances: DataFrame
+
+
+def evaluated(spark: SparkSession, final: Final) -> Outcome:
+    """Areas, accuracy, confusion, metrics by class and curve points of the scored test part, and the features' importances."""
+    scored = final.predictions
+    slots = [a["name"] for a in learn.vector_attributes(final.model.transform(final.test), "features")]
+    weights = final.model.stages[-1].featureImportances.toArray()
+    ranked = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(slots, weights))], "idx int, name string, score double")
+    return Outcome(
+        final,
+        metrics.curve_areas(scored),
+        metrics.accuracy(scored),
+        metrics.confusion(scored),
+        metrics.class_metrics(scored),
+        metrics.curve_points(scored),
+        ranked.orderBy(F.desc("score"), "idx"),
+    )
+
+
+def shape_of(sources: Sources, *, exact: bool, oversample: str | None = None) -> str:
+    """Part of a stage's name that tells by which parameters it was made."""
+    return "_".join([f"from{sources.min_date}", "exact" if exact else "bucketed", *([oversample] if oversample else [])])
+
+
+def prepared(spark: SparkSession, sources: Sources, root: str, scope: str, *, every_flight: DataFrame | None, exact: bool) -> DataFrame:
+    """The feature stage of a scope; what is there already, made by the same parameters, is taken as it is.
+
+    Ranks come from ``every_flight``, the flights of the full range, whatever the scope; without
+    them, from those of the scope, and are then kept with the scope.
+    """
+    whole = every_flight is not None
+    ranks = stage_once(
+        spark, root, "all" if whole else scope, RANKS, lambda: airport_ranks(every_flight if whole else sources.flights)
+    )
+    shape = shape_of(sources, exact=exact)
+    flights = stage_once(spark, root, scope, CLEAN, lambda: clean_flights(sources.flights))
+    joined = stage_once(
+        spark, root, scope, f"{ORIGINAL}_{shape}", lambda: joined_flights(sources, flights=flights, exact=exact)
+    )
+    return stage_once(spark, root, scope, f"{PROPOSED}_{shape}", lambda: proposed_features(joined, ranks))
+
+
+def tried(
+    spark: SparkSession,
+    sources: Sources,
+    root: str,
+    scope: str,
+    *,
+    every_flight: DataFrame | None = None,
+    exact: bool = False,
+    oversample: str = "train",
+) -> Exploration:
+    """Every kind of model tried on a scope; the chosen ones are saved and the reduced parts written."""
+    features = prepared(spark, sources, root, scope, every_flight=every_flight, exact=exact)
+    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, f"{scope}/{shape_of(sources, exact=exact, oversample=oversample)}")
+
+    def keep(reduced: Parts) -> None:
+        for name, frame in zip(REDUCED, (reduced.train, reduced.val, reduced.test)):
+            restage(frame, root, scope, name)
+
+    found = explore(parts, FEATURES, keep=keep)
+    for name, model in found.models.items():
+        save_model(model, root, f"{scope}_{name.replace(' ', '_')}")
+    return found
+
+
 def run(
     spark: SparkSession,
     sources: Sources,
     root: str,
     scope: str,
     *,
+    every_flight: DataFrame | None = None,
     exact: bool = False,
     oversample: str = "train",
-) -> Final:
-    """All steps; stages already written under ``root/scope`` are taken as they are.
+) -> Outcome:
+    """All steps; stages already written under ``root/scope`` by the same parameters are taken as they are.
 
-    Returns the tuned model with its trials and the scored test part, which are saved as well.
+    Returns the tuned model with its trials and the scored test part, which are saved as well, and
+    its evaluation.
     """
-    ranks = stage_once(spark, root, "all", "pageranks", lambda: airport_ranks(sources.flights))
-    joined = stage_once(spark, root, scope, "original", lambda: joined_flights(sources, exact=exact))
-    features = stage_once(spark, root, scope, "proposed_features", lambda: proposed_features(joined, ranks))
-    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, scope)
+    features = prepared(spark, sources, root, scope, every_flight=every_flight, exact=exact)
+    shape = shape_of(sources, exact=exact, oversample=oversample)
+    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, f"{scope}/{shape}")
     final = train_boosting(parts, FEATURES)
     save_model(final.model, root, f"{scope}_boosting")
     scored = restage(
         final.predictions.select("label", "rawPrediction", "probability", "prediction"), root, scope, "predictions"
     )
-    return Final(final.model, final.trials, metrics.scored(scored))
+    return evaluated(spark, Final(final.model, final.trials, metrics.scored(scored), parts.test))

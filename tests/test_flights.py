@@ -103,17 +103,45 @@ def test_offsets_in_place_of_zones(spark, sources):
 def test_whole_flow(spark, sources, tmp_path, monkeypatch):
     monkeypatch.setattr(learn, "BOOSTING_GRID", {"maxDepth": [3], "stepSize": [0.3]})
     root = str(tmp_path)
-    final = plan.run(spark, sources, root, "small")
+    outcome = plan.run(spark, sources, root, "small", every_flight=sources.flights)
+    final = outcome.final
     assert final.trials[0].auroc > 0.8
-    features = spark.read.parquet(f"{root}/small/proposed_features")
+    features = spark.read.parquet(f"{root}/small/proposed_features_from20150101_bucketed")
     assert features.columns == [*plan.FEATURES.categoricals, *plan.FEATURES.numericals, "AIRLINE_TIMESTAMP", "DEP_DEL15"]
     assert features.where("abs(DAY_OF_YEAR_sin * DAY_OF_YEAR_sin + DAY_OF_YEAR_cos * DAY_OF_YEAR_cos - 1) > 1e-9").count() == 0
     ranks = {r.id: r.pagerank for r in spark.read.parquet(f"{root}/all/pageranks").collect()}
     assert math.isclose(sum(ranks.values()), 3) and set(ranks) == {"1", "2", "3"}
-    for stage in ("original", "trainingData", "valData", "testData", "predictions"):
+    for stage in ("flights", "original_from20150101_bucketed", "predictions"):
         assert stage_exists(spark, root, "small", stage)
-    assert final.predictions.count() == spark.read.parquet(f"{root}/small/testData").count()
+    for stage in ("trainingData", "valData", "testData"):
+        assert stage_exists(spark, root, "small/from20150101_bucketed_train", stage)
+    rows = final.predictions.count()
+    assert rows == final.test.count()
+    # What the model is worth.
+    assert 0.5 < outcome.areas.first().auroc <= 1 and 0 <= outcome.accuracy.first()[0] <= 1
+    assert sum(r.n for r in outcome.confusion.collect()) == rows
+    assert {r["class"] for r in outcome.classes.collect()} == {0.0, 1.0} and outcome.curves.count() > 0
+    weights = outcome.importances.collect()
+    assert len(weights) == len(plan.FEATURES.categoricals) + len(plan.FEATURES.numericals)
+    assert math.isclose(sum(r.score for r in weights), 1) and weights[0].score == max(r.score for r in weights)
     # Everything up to the features is there already: no source is read again.
-    nothing = plan.Sources(*[None] * 5, 0)
-    again = plan.run(spark, nothing, root, "small")
-    assert again.trials[0].auroc == pytest.approx(final.trials[0].auroc)
+    nothing = plan.Sources(*[None] * 5, 20150101)
+    again = plan.run(spark, nothing, root, "small", every_flight=sources.flights)
+    assert again.final.trials[0].auroc == pytest.approx(final.trials[0].auroc)
+    # Another join is another stage.
+    plan.prepared(spark, sources, root, "small", every_flight=sources.flights, exact=True)
+    assert stage_exists(spark, root, "small", "original_from20150101_exact")
+
+
+def test_every_kind_of_model_is_tried_and_saved(spark, sources, tmp_path, monkeypatch):
+    monkeypatch.setattr(learn, "LOGISTIC_GRID", {"regParam": [0.01]})
+    monkeypatch.setattr(learn, "FOREST_GRID", {"maxDepth": [2]})
+    monkeypatch.setattr(learn, "BOOSTING_GRID", {"maxDepth": [2], "stepSize": [0.3]})
+    found = plan.tried(spark, sources, str(tmp_path), "part")
+    names = {"baseline logistic", "tuned logistic", "forest", "boosting"}
+    assert {r.model for r in found.scores.collect()} == names == set(found.models)
+    assert stage_exists(spark, str(tmp_path), "part", "pageranks")
+    for name in names:
+        assert (tmp_path / "models" / f"part_{name.replace(' ', '_')}").exists()
+    for stage in plan.REDUCED:
+        assert set(spark.read.parquet(f"{tmp_path}/part/{stage}").columns) == {"reducedScaledFeatures", "label"}
