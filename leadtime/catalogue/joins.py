@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtime.catalogue.registry import EVENTS_SQL, query, table, timed_events
-from leadtime.functions.clock import HOUR, epoch_seconds, shifted
+from leadtime.functions.clock import HOUR, epoch_seconds, local_epoch, shifted
 from leadtime.operators.asof import asof_bucketed, asof_exact
 from leadtime.operators.lookup import keep_known, keys_in_use, looked_up, station_zones, within_bounds
 from leadtime.operators.ranking import first_per_group
@@ -170,3 +170,17 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) =
 def highest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events", "user_id", "event_id", "value")
     return first_per_group(events, ["user_id"], [F.desc("value"), F.asc("event_id")])
+
+
+@query(
+    f"""
+SELECT event_id, t, t + CASE user_id % 3 WHEN 0 THEN -5 WHEN 1 THEN 1 ELSE 9 END * 3600 AS local_t
+FROM ({EVENTS_SQL})""",
+    name="zone_local_times",
+)
+def local_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall-clock seconds of every event in the zone of its user. All events fall in one winter month."""
+    zones = F.array(*[F.lit(z) for z in ("America/New_York", "Europe/Paris", "Asia/Tokyo")])
+    events = timed_events(spark, sf_dir).select("event_id", "user_id", "t")
+    zone = F.get(zones, (F.col("user_id") % 3).cast("int"))
+    return events.select("event_id", "t", local_epoch(F.timestamp_seconds("t"), zone).alias("local_t"))

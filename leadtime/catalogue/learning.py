@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
-from uuid import uuid4
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -25,7 +24,7 @@ from leadtime.operators.history import previous_outcome
 from leadtime.operators.levels import fold_rare_levels
 from leadtime.operators.split import time_split
 from leadtime.plans.training import Columns, Parts, explore, linear_parts, parts_of, train_boosting, tree_parts
-from leadtime.session import shared_folder
+from leadtime.session import query_root
 from leadtime.sources.stages import load_model, restage, save_model
 
 LINE_COLUMNS = Columns(
@@ -57,7 +56,7 @@ def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_parts(spark: SparkSession, sf_dir: str) -> Parts:
-    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    root = query_root(spark)
     features = restage(line_features(spark, sf_dir), root, "lines", "proposed_features")
     return parts_of(features, LINE_COLUMNS).staged(root, "lines")
 
@@ -286,7 +285,7 @@ def gbt_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     Probabilities are such, and the prediction is the likelier class.
     """
     parts = line_parts(spark, sf_dir)
-    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    root = query_root(spark)
     save_model(train_boosting(parts, LINE_COLUMNS).model, root, "boosting")
     scored = metrics.scored(load_model(PipelineModel, root, "boosting").transform(parts.test), "probability")
     written = restage(scored.select("label", "score", "prediction"), root, "lines", "predictions")
@@ -332,7 +331,7 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("reading_value"),
     )
     joined = asof_bucketed(departures, readings, "k", "t", "reading_time", "reading_id")
-    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    root = query_root(spark)
     joined = restage(joined.withColumn("user", F.col("user_id").cast("string")), root, "events", "original")
     folded = fold_rare_levels(joined, "user", "user_folded", "RARE")
     minute_sin, minute_cos = cyclic(F.floor(F.col("t") / 60) % 1440, "TIME")
@@ -368,7 +367,7 @@ SELECT * EXCLUDE (copy) FROM (
 
 @query(_EVENT_FEATURES_SQL)
 def engineered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    root = query_root(spark)
     features = restage(event_features(spark, sf_dir), root, "events", "proposed_features")
     return oversample_minority(time_split(features, "t", 0.6, 0.2), "label", only=F.col("part") == "train").select(
         "event_id",
@@ -391,7 +390,7 @@ FROM s WHERE part = 'test'"""
 @query(_DELAY_SQL)
 def delay_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way on to tuned trees: test rows by class, and whether the quality metrics of the test part are such."""
-    root = f"{shared_folder(spark)}/{uuid4().hex}"
+    root = query_root(spark)
     features = restage(event_features(spark, sf_dir), root, "events", "proposed_features")
     parts = parts_of(features, EVENT_COLUMNS).staged(root, "events")
     final = train_boosting(parts, EVENT_COLUMNS)

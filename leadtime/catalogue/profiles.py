@@ -48,8 +48,7 @@ def top_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS n, min(t) AS first, max(t) AS last FROM ({EVENTS_SQL})")
 def event_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = timed_events(spark, sf_dir)
-    return events.agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    return extent(timed_events(spark, sf_dir), "t", rows="n")
 
 
 @query("SELECT min(l_extendedprice) AS first, max(l_extendedprice) AS last FROM lineitem")

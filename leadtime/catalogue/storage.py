@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtime.catalogue.registry import query, table
-from leadtime.session import shared_folder
+from leadtime.session import query_root
 from leadtime.sources.stages import read_stage, stage_once, stage_path, write_stage
 from leadtime.sources.tables import delimited_lookup, scan_csv, scan_parquet
 
 
-def _new_root(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{uuid4().hex}"
-
-
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders", name="stage_roundtrip")
 def stage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    root = _new_root(spark)
+    root = query_root(spark)
     write_stage(orders, root, "orders", "original")
     return read_stage(spark, root, "orders", "original").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
@@ -28,7 +22,7 @@ def stage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey", name="stage_once")
 def stage_computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second call finds the stage and does not compute."""
-    root = _new_root(spark)
+    root = query_root(spark)
     customers = table(spark, sf_dir, "customer", "c_nationkey")
 
     def count() -> DataFrame:
@@ -43,17 +37,31 @@ def stage_computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier", name="csv_scan")
 def compressed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = stage_path(_new_root(spark), "supplier", "csv")
+    path = stage_path(query_root(spark), "supplier", "csv")
     suppliers = table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     suppliers.write.option("header", True).option("compression", "gzip").csv(path)
     return scan_csv(spark, path, schema="s_suppkey bigint, s_name string, s_nationkey int")
 
 
+@query(
+    """
+SELECT CAST(max(c_custkey) AS VARCHAR) AS last_key, c_mktsegment FROM customer GROUP BY c_mktsegment""",
+    name="delimited_repeats",
+)
+def delimited_repeated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as ``key:segment`` lines of one file in order of their keys: a segment occurs often, its last line counts."""
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    path = stage_path(query_root(spark), "customer", "segments")
+    lines = customers.select(F.concat_ws(":", F.col("c_custkey").cast("string"), "c_mktsegment", F.lit("rest")).alias("value"), "c_custkey")
+    lines.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.text(path)
+    return delimited_lookup(spark, path, value="last_key", key="c_mktsegment")
+
+
 @query("SELECT c_custkey, c_name FROM (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer)", name="delimited_lookup")
 def delimited_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as ``name:key:segment:…`` lines; some are written a second time with key N/A."""
     customers = table(spark, sf_dir, "customer")
-    path = stage_path(_new_root(spark), "customer", "text")
+    path = stage_path(query_root(spark), "customer", "text")
     key = F.col("c_custkey").cast("string")
     lines = customers.select(
         F.explode(F.array(key, F.lit("N/A"))).alias("key"), "c_name", "c_mktsegment"
@@ -69,7 +77,7 @@ SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem"""
 def glob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written to one folder per return flag and read back through a glob over all of them."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
-    path = stage_path(_new_root(spark), "lineitem", "parts")
+    path = stage_path(query_root(spark), "lineitem", "parts")
     lines.write.partitionBy("l_returnflag").parquet(path)
     return scan_parquet(
         spark, f"{path}/l_returnflag=*", columns=["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]

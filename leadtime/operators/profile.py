@@ -28,9 +28,10 @@ def null_profile(df: DataFrame) -> DataFrame:
     return _long(counts, "column", "nulls").where(F.col("nulls") > 0)
 
 
-def extent(df: DataFrame, column: str) -> DataFrame:
-    """One row: smallest and largest value."""
-    return df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+def extent(df: DataFrame, column: str, rows: str | None = None) -> DataFrame:
+    """One row: smallest and largest value, and in ``rows``, if named, how many rows there are."""
+    counted = [F.count("*").alias(rows)] if rows else []
+    return df.agg(*counted, F.min(column).alias("first"), F.max(column).alias("last"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
