@@ -74,7 +74,7 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return resample(documents(spark, sf_dir, "doc_id", "text"), labels).drop("text_hash")
+    return resample(documents(spark, sf_dir, "doc_id", "text"), labels)
 
 
 @query

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +49,18 @@ def grams(text: bytes | None, hashes: _Hashes) -> Iterator[np.ndarray]:
         last = found[-1:]
 
 
-def _gram_counts(docs: DataFrame) -> DataFrame:
-    """``bucket``, ``n_target`` and ``n_raw`` over all rows of ``target`` (boolean) and ``bytes``; a task adds up first."""
+def _bytes(text: pa.StringScalar) -> bytes | None:
+    buffer = text.as_buffer()
+    return None if buffer is None else buffer.to_pybytes()
+
+
+def _gram_counts(docs: DataFrame, ids: Broadcast) -> DataFrame:
+    """``bucket``, ``n_target`` and ``n_raw`` over all rows of ``doc_id`` and ``bytes``; a task adds up first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hashes = np.zeros((2, BUCKETS), np.int64), _Hashes()
+        counts, hashes, good = np.zeros((2, BUCKETS), np.int64), _Hashes(), ids.value
         for batch in batches:
-            for target, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for target, text in zip([i in good for i in batch.column(0).to_pylist()], batch.column(1)):
                 for found in grams(text.as_py(), hashes):
                     n = np.bincount(found, minlength=BUCKETS)
                     counts[1] += n
@@ -63,7 +69,7 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
         full = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[0, full]), pa.array(counts[1, full])], ["bucket", "n_target", "n_raw"])
 
-    found = docs.select("target", "bytes").mapInArrow(of, "bucket long, n_target long, n_raw long")
+    found = docs.select("doc_id", "bytes").mapInArrow(of, "bucket long, n_target long, n_raw long")
     return found.groupBy("bucket").agg(F.sum("n_target").alias("n_target"), F.sum("n_raw").alias("n_raw"))
 
 
@@ -76,35 +82,46 @@ def log_ratios(counts: list[tuple[int, int, int]], smoothing: float = 1.0) -> np
     return np.log(shares[0] / shares[1])
 
 
-def importance_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with ``log_weight``, ``n_grams`` and its ``quality`` label, null where it has none.
+def target_ids(labels: DataFrame, sample: int) -> set:
+    """Ids of ``sample`` documents labelled 1, and never lower, at most: those with the lowest hashes."""
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    return {r[0] for r in good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+
 
-    ``labels`` (``doc_id``, ``quality``) names the target text: rows of quality 1. The raw model
-    counts all rows, the target model all labelled ones; each has ``BUCKETS`` entries. A document's
-    weight is the sum of the log ratios of its n-grams. Null and empty texts, and those of blanks,
-    weigh 0. Where a document has several labels the lowest counts; null labels do not.
+def importance_weights(docs: DataFrame, labels: DataFrame, *, sample: int = 50_000) -> Callable[[DataFrame], DataFrame]:
+    """How to weigh documents: a function that adds ``log_weight``, ``n_grams`` and ``target`` to rows of ``docs``.
+
+    ``labels`` (``doc_id``, ``quality``) names the target text: documents labelled 1, ``sample`` of them at
+    most, whose ids go to every task, so texts never meet labels in a shuffle. The raw model counts
+    all rows of ``docs``. Each model has ``BUCKETS`` entries. A weight is the sum of the log ratios
+    of a text's n-grams: 0 for null and empty texts and those of blanks. Where a document has
+    several labels the lowest counts; null labels do not. Columns of these names are replaced.
     """
-    kinds = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").cast("binary").alias("bytes"))
-    joined = texts.join(kinds.withColumnRenamed("doc_id", "__label_id"), F.col("__id") == F.col("__label_id"), "left")
-    known = joined.select(F.coalesce(F.col("__quality") == 1, F.lit(False)).alias("target"), "bytes", F.col("__id").alias("doc_id"), F.col("__quality").alias("quality"))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios([tuple(r) for r in _gram_counts(known).collect()]))
+    context = docs.sparkSession.sparkContext
+    ids = context.broadcast(target_ids(labels, sample))
+    ratios = context.broadcast(log_ratios([tuple(r) for r in _gram_counts(docs.select("doc_id", F.col("text").cast("binary").alias("bytes")), ids).collect()]))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, hashes = ratios.value, _Hashes()
-        for batch in batches:
-            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for i, text in enumerate(batch.column(0)):
-                for found in grams(text.as_py(), hashes):
-                    total[i] += weights[found].sum()
-                    n[i] += len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(n), *batch.columns[1:]], ["log_weight", "n_grams", *names])
+    def weigh(rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("log_weight", "n_grams", "target")]
+        at = [kept.index("doc_id"), kept.index("text")]
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, good, hashes = ratios.value, ids.value, _Hashes()
+            for batch in batches:
+                total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                for i, text in enumerate(batch.column(at[1])):
+                    for found in grams(_bytes(text), hashes):
+                        total[i] += weights[found].sum()
+                        n[i] += len(found)
+                target = [i in good for i in batch.column(at[0]).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(total), pa.array(n), pa.array(target, pa.bool_())], [*kept, "log_weight", "n_grams", "target"]
+                )
+
+        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+        return rows.select(*kept).mapInArrow(of, f"{fields}, log_weight double, n_grams long, target boolean")
 
-    names = ["doc_id", "quality", "text_hash"]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select("doc_id", "quality").schema)
-    return known.select("bytes", "doc_id", "quality", F.xxhash64("bytes").alias("text_hash")).mapInArrow(
-        of, f"log_weight double, n_grams long, {fields}, text_hash long"
-    )
+    return weigh
 
 
 def _uniform(seed: int) -> F.Column:
@@ -136,31 +153,51 @@ def kth_largest(df: DataFrame, key: str, k: int) -> float | None:
     return low
 
 
-def gumbel_sample(weighted: DataFrame, *, keep: int | None = None, recall: float = 0.998, seed: int = 0) -> DataFrame:
-    """Add ``gumbel_key`` and ``selected``: the rows of the ``keep`` largest keys, log weight plus Gumbel noise.
+def gumbel_keys(weighted: DataFrame, seed: int) -> DataFrame:
+    """Add ``gumbel_key``: log weight plus Gumbel noise that hashes doc_id and text."""
+    return weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(_uniform(seed))))
 
-    That draws ``keep`` rows without replacement in proportion to their weights. The noise hashes
-    doc_id and text, so reruns agree and repeated rows are drawn together. ``keep`` is, unless
-    given, the number of rows that weigh at least what ``recall`` of the labelled target rows
-    weigh. Rows at the last key drawn are all selected. Without target rows nothing is rejected.
+
+def gumbel_bound(keyed: DataFrame, *, keep: int | None = None, recall: float = 0.998) -> float | None:
+    """The ``keep``-th largest key; null if all rows are kept.
+
+    ``keep`` is, unless given, the number of rows that weigh at least what ``recall`` of the target
+    rows weigh. Without target rows nothing is rejected.
     """
-    keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(_uniform(seed))))
     if keep is None:
-        target = weighted.where("quality = 1")
+        target = keyed.where("target")
         least = kth_largest(target, "log_weight", max(1, int(np.ceil(recall * target.count()))))
-        keep = weighted.count() if least is None else weighted.where(F.col("log_weight") >= least).count()
+        keep = keyed.count() if least is None else keyed.where(F.col("log_weight") >= least).count()
     bound = kth_largest(keyed, "gumbel_key", keep)
-    selected = F.lit(keep > 0) if bound is None else F.col("gumbel_key") >= bound
-    return keyed.withColumn("selected", selected)
+    return float("inf") if bound is None and keep <= 0 else bound
+
+
+def _selected(bound: float | None) -> F.Column:
+    return F.lit(True) if bound is None else F.col("gumbel_key") >= bound
 
 
-def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``log_weight``, ``n_grams``, ``gumbel_key`` and ``selected`` of every row of ``docs``."""
-    return gumbel_sample(written(importance_weights(docs, labels)), **options).drop("quality")
+def resample(docs: DataFrame, labels: DataFrame, *, keep: int | None = None, recall: float = 0.998, sample: int = 50_000, seed: int = 0) -> DataFrame:
+    """``doc_id``, ``log_weight``, ``n_grams``, ``gumbel_key`` and ``selected`` of every row of ``docs``.
+
+    The rows of the ``keep`` largest Gumbel keys are selected, which draws them without replacement in
+    proportion to their importance weights; rows at the last key drawn all are. Reruns agree, and
+    repeated rows are drawn together. Other columns are ignored.
+    """
+    texts = docs.select("doc_id", "text")
+    weighted = importance_weights(texts, labels, sample=sample)(texts)
+    keyed = written(gumbel_keys(weighted.withColumn("text_hash", F.xxhash64("text")), seed).drop("text", "text_hash"))
+    return keyed.withColumn("selected", _selected(gumbel_bound(keyed, keep=keep, recall=recall))).drop("target")
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` selects, with their columns."""
-    chosen = resample(docs, labels, **options).where("selected").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__own", F.xxhash64(F.col("text").cast("binary")))
-    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi").drop("__own")
+def select_quality(docs: DataFrame, labels: DataFrame, *, keep: int | None = None, recall: float = 0.998, sample: int = 50_000, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` selects, with their columns.
+
+    Rows are weighed again where they lie, rather than sent to meet what was decided for them.
+    """
+    texts = docs.select("doc_id", "text")
+    weigh = importance_weights(texts, labels, sample=sample)
+    keyed = written(gumbel_keys(weigh(texts).withColumn("text_hash", F.xxhash64("text")), seed).drop("text", "text_hash"))
+    bound = gumbel_bound(keyed, keep=keep, recall=recall)
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    again = weigh(docs.withColumnsRenamed(names)).withColumn("text_hash", F.xxhash64("text"))
+    return gumbel_keys(again, seed).where(_selected(bound)).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
