@@ -117,7 +117,9 @@ def mix(
     parts = cut.select("rank", "start", "index", (low - F.col("start")).alias("offset"), (high - low).alias("words"))
 
     chunks = shares.where("slots > 0").select("rank", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("from"))
-    filled = chunks.repartition("rank", "from").select(
+    # So many rows come of so few that their number, not their size, says how many tasks they need.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = chunks.repartition(tasks, "rank", "from").select(
         "rank", "blocks", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("slots")) - 1)).alias("slot")
     )
     key = F.lit(seed)
