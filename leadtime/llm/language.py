@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 #: Distinct words that a task holds before it turns them into counts, or a worker remembers scores of.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longest stretch of a text that is split into words at once.
 STRETCH = 1 << 20
 
@@ -72,11 +73,31 @@ def words_of(text: str) -> Iterator[list[str]]:
         start = end
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word itself and of its runs of one to three letters, ends marked."""
-    framed = f"\x02{word}\x03"
-    grams = [framed, *word, *(framed[i : i + 2] for i in range(len(framed) - 1)), *(framed[i : i + 3] for i in range(len(framed) - 2))]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
+def features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word itself and of its runs of one to three letters, ends marked, one word after the
+    other; and where each word's buckets begin."""
+    framed = "".join([f"\x02{w}\x03" for w in words])
+    points = np.frombuffer(framed.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    inside = points != 3
+    begins = np.flatnonzero(points == 2)
+    of_word = np.cumsum(points == 2) - 1
+    ahead = np.concatenate([points, np.zeros(2, np.uint64)])
+    one, two, three = ahead[:-2], ahead[1:-1], ahead[2:]
+    pairs = inside
+    triples = inside & np.concatenate([inside[1:], [False]])
+    own = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    mixed = [own * _MIX[0], (one * _MIX[1])[pairs], (one * _MIX[2] + two * _MIX[3])[pairs], (one * _MIX[4] + two * _MIX[5] + three * _MIX[6])[triples]]
+    owner = np.concatenate([np.arange(len(begins)), of_word[pairs], of_word[pairs], of_word[triples]])
+    order = np.argsort(owner, kind="stable")
+    hashes = np.concatenate(mixed)[order]
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= _MIX[7]
+    buckets = (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return buckets, np.searchsorted(owner[order], np.arange(len(begins)))
+
+
+#: Odd factors of the letters' places.
+_MIX = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(8)]
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
@@ -96,8 +117,12 @@ def language_counts(docs: DataFrame) -> DataFrame:
                     counts[lang] = np.zeros(BUCKETS, np.int64)
                 for word, n in seen.items():
                     scripts[lang, SCRIPT_NAMES.index(script(word))] += n * len(word)
-                    for bucket in features(word):
-                        counts[lang][bucket] += n
+                own = list(seen)
+                for start in range(0, len(own), 20_000):
+                    some = own[start : start + 20_000]
+                    buckets, begins = features(some)
+                    times = np.repeat([seen[w] for w in some], np.diff(begins, append=len(buckets)))
+                    counts[lang] += np.bincount(buckets, times, BUCKETS).astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -133,16 +158,44 @@ class LanguageModel:
         self.weights = np.log((counts + smoothing) / (counts.sum(0) + smoothing * BUCKETS)).astype(np.float32)
         self.written_in = letters >= least_share * np.maximum(letters.sum(0), 1)
 
-    def score(self, word: str) -> np.ndarray:
-        """Relative score by language: 0 for the best, minus infinity where the script rules one out.
+    def score(self, words: Sequence[str]) -> np.ndarray:
+        """Relative scores by word and language: 0 for the best, minus infinity where the script rules one out.
 
         A word in a script of no learned language says nothing.
         """
-        candidates = self.written_in[SCRIPT_NAMES.index(script(word))]
-        if not candidates.any():
-            return np.zeros(len(self.languages), np.float32)
-        scores = np.where(candidates, self.weights[features(word)].sum(0), -np.inf)
-        return scores - scores.max()
+        buckets, begins = features(words)
+        scores = np.add.reduceat(self.weights[buckets], begins, axis=0)
+        candidates = self.written_in[[SCRIPT_NAMES.index(script(w)) for w in words]]
+        scores = np.where(candidates, scores, -np.inf)
+        best = scores.max(1, keepdims=True)
+        return np.where(np.isfinite(best), scores - np.where(np.isfinite(best), best, 0), 0).astype(np.float32)
+
+
+class ScoredWords:
+    """Scores of the words that a worker has met with one model; a full memory is emptied between texts."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.place = model, {}
+        self.table = np.zeros((REMEMBERED, len(model.languages)), np.float32)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.place.get, words))
+        if None in found:
+            new = list({w for w, i in zip(words, found) if i is None})
+            if len(self.place) + len(new) > REMEMBERED:
+                self.place.clear()
+                new = list(set(words))
+            if len(new) > REMEMBERED:
+                return self.model.score(words)
+            start = len(self.place)
+            self.table[start : start + len(new)] = self.model.score(new)
+            self.place.update(zip(new, range(start, start + len(new))))
+            found = list(map(self.place.get, words))
+        return self.table[found]
+
+
+#: The words of the model that a Python worker used last, by the model's name.
+_SCORED: dict[str, ScoredWords] = {}
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -160,24 +213,30 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     sums = np.concatenate([[0.0], gains.cumsum()])
     if (sums - np.minimum.accumulate(sums)).max() <= penalty:
         return np.full(n, best)
-    state, back = scores[0].astype(np.float64), np.zeros((n, languages), np.int16)
-    stay = np.arange(languages)
+    rows = scores.tolist()
+    state, back = rows[0], [None] * n
     for i in range(1, n):
-        top = int(state.argmax())
-        switched = state < state[top] - penalty
-        back[i] = np.where(switched, top, stay)
-        state = np.maximum(state, state[top] - penalty) + scores[i]
+        least = max(state) - penalty
+        if min(state) < least:
+            # Languages that are reached better by a change come from the best one.
+            back[i] = (state.index(max(state)), [s < least for s in state])
+            state = [max(s, least) + x for s, x in zip(state, rows[i])]
+        else:
+            state = [s + x for s, x in zip(state, rows[i])]
     path = np.empty(n, np.int64)
-    path[-1] = state.argmax()
+    now = path[-1] = state.index(max(state))
     for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+        if back[i] is not None and back[i][1][now]:
+            now = back[i][0]
+        path[i - 1] = now
     return path
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float = 12.0) -> DataFrame:
+def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float = 36.0) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``spans`` of every row of ``docs``, from its text alone.
 
-    The model counts all rows of ``training`` (``text``, ``lang``) and holds ``BUCKETS`` weights per
+    A change of language costs ``penalty``; letters count in some three overlapping features each, so
+    that is some 12 nats of evidence. The model counts all rows of ``training`` (``text``, ``lang``) and holds ``BUCKETS`` weights per
     language. ``spans`` are the stretches of one language, with number of words. ``lang_pred`` is the
     language of most letters, the first by name if two are equal; ``score`` its share of them. Null
     texts, texts without a letter, and all texts where there is nothing to learn from, are ``und``
@@ -185,44 +244,31 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float =
     """
     spark = docs.sparkSession
     model = LanguageModel([tuple(r) for r in language_counts(training).collect()])
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def label(text: str | None, known: dict[str, int], table: np.ndarray) -> tuple[str, float, list[dict]]:
-        model = shared.value
-        if not text or not model.languages:
+    def label(text: str | None, scored: ScoredWords) -> tuple[str, float, list[dict]]:
+        languages = scored.model.languages
+        if not text or not languages:
             return "und", 0.0, []
-        letters, spans = np.zeros(len(model.languages), np.int64), []
+        letters, spans = np.zeros(len(languages), np.int64), []
         for words in words_of(text):
             if not words:
                 continue
-            rows = list(map(known.get, words))
-            if None in rows:
-                for i, row in enumerate(rows):
-                    if row is None:
-                        row = known.get(words[i])
-                        if row is None and len(known) < REMEMBERED:
-                            row = known[words[i]] = len(known)
-                            table[row] = model.score(words[i])
-                        rows[i] = -1 if row is None else row
-            scores = table[rows]
-            for i, row in enumerate(rows):
-                if row < 0:
-                    scores[i] = model.score(words[i])
-            path = viterbi(scores, penalty)
+            path = viterbi(scored.of(words), penalty)
             letters += np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(letters)).astype(np.int64)
             ends = np.flatnonzero(np.diff(path, append=-1)) + 1
-            spans += [{"lang": model.languages[path[e - 1]], "words": int(e - s)} for s, e in zip([0, *ends[:-1]], ends)]
+            spans += [{"lang": languages[path[e - 1]], "words": int(e - s)} for s, e in zip([0, *ends[:-1]], ends)]
         if not letters.any():
             return "und", 0.0, []
-        return model.languages[letters.argmax()], float(letters.max() / letters.sum()), spans
+        return languages[letters.argmax()], float(letters.max() / letters.sum()), spans
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        table = np.zeros((REMEMBERED, max(1, len(shared.value.languages))), np.float32)
+        if name not in _SCORED:
+            _SCORED.clear()
+            _SCORED[name] = ScoredWords(shared.value)
+        scored = _SCORED[name]
         for batch in batches:
-            if len(known) > REMEMBERED * 9 // 10:
-                known.clear()
-            lang, score, spans = zip(*(label(text.as_py(), known, table) for text in batch.column(1))) if batch.num_rows else ((),) * 3
+            lang, score, spans = zip(*(label(text.as_py(), scored) for text in batch.column(1))) if batch.num_rows else ((),) * 3
             kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)],
