@@ -101,5 +101,7 @@ def test_cycles(spark):
 
 
 def test_composite_key_keeps_parts_apart(spark):
-    df = spark.createDataFrame([("1", "23"), ("12", "3"), (None, "3")], "a string, b string")
-    assert column(df.select(composite_key(F.col("a"), F.col("b")).alias("x"))) == ["1|23", "12|3", "|3"]
+    rows = [("1", "23"), ("12", "3"), (None, "3"), ("", "3"), ("a|b", "c"), ("a", "b|c"), ("\\N", "3"), ("a\\", "b"), ("a\\|b", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    keys = column(df.select(composite_key(F.col("a"), F.col("b")).alias("x")))
+    assert keys[:4] == ["1|23", "12|3", "\\N|3", "|3"] and len(set(keys)) == len(rows)

@@ -1,4 +1,4 @@
-"""Every query with a SQL twin gives the same rows as DuckDB; every other one gives rows."""
+"""Every query of the catalogue gives the same rows as its SQL twin in DuckDB."""
 
 import os
 
@@ -6,9 +6,9 @@ import pytest
 from oracle import compare, database
 
 import __spark_entry__ as contract
+from leadtime.catalogue import ORACLE, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-SMALL_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +16,13 @@ def tables():
     return database(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, tables, name):
     assert compare(contract.queries()[name](spark, SF_DIR), tables, contract.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
-def test_gives_rows(spark, name):
-    assert contract.queries()[name](spark, SMALL_DIR).count() > 0
+def test_every_query_of_the_catalogue_has_sql():
+    assert set(QUERIES) == set(ORACLE) <= set(contract.queries())
 
 
 def test_every_sql_has_a_query():
