@@ -124,7 +124,7 @@ def _new_model(counts: np.ndarray, rare_sums: np.ndarray) -> GruModel:
     return GruModel(np.concatenate([counts, np.full(WORDS - len(counts), -1.0 + 1e-9)]), rare_sums)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, rounds: int = 2, share: int = 8) -> GruModel:
+def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, rounds: int = 1, share: int = 8) -> GruModel:
     """The model after ``rounds`` of training in every task on its own texts and averaging the weights by tokens.
 
     Round r takes the texts whose hash modulo ``share`` is r, so what is learnt from grows with the
@@ -140,7 +140,22 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
             own = _new_model(counts, words.value.rare_sums)
             own.parameters = {k: v.copy() for k, v in sent.value.parameters.items()}
             trainer = Trainer(own)
-            trainer.learn(words.value.encode(text.as_py())[0] for batch in batches for text in batch.column(0))
+            held: list[np.ndarray] = []
+            size = 0
+
+            def learn() -> None:
+                # Longest first, so that lanes end together and windows stay full.
+                trainer.learn(sorted(held, key=len, reverse=True))
+                held.clear()
+
+            for batch in batches:
+                for text in batch.column(0):
+                    held.append(words.value.encode(text.as_py())[0])
+                    size += len(held[-1])
+                    if size >= SCORED:
+                        learn()
+                        size = 0
+            learn()
             if trainer.tokens:
                 flat = np.concatenate([own.parameters[k].ravel() for k in sorted(own.parameters)]).astype(np.float64)
                 for start in range(0, len(flat), 50_000):
@@ -165,7 +180,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
     return model
 
 
-def score_documents(docs: DataFrame, training: DataFrame, *, rounds: int = 2, share: int = 8) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, *, rounds: int = 1, share: int = 8) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``.
 
     Tokens are words and one end. ``base_score`` is the log10 probability by smoothed counts of all
