@@ -178,11 +178,14 @@ def _between(*columns: str) -> F.Column:
     return reduce(and_, [F.col(c).between(0, 1) for c in columns])
 
 
-def _part_sizes(parts: Parts) -> DataFrame:
-    """One row: rows of the training part, rows and positives of the validation part."""
-    train = parts.train.agg(F.count("*").alias("train_rows"))
-    val = parts.val.agg(F.count("*").alias("val_rows"), F.count_if(F.col("label") == 1).alias("val_positives"))
-    return train.withColumns({c: val.select(c).scalar() for c in val.columns})
+def _part_sizes(parts: Parts) -> list[F.Column]:
+    """Rows of the training part, rows and positives of the validation part."""
+    positive = F.count_if(F.col("label") == 1)
+    return [
+        parts.train.agg(F.count("*")).scalar().alias("train_rows"),
+        parts.val.agg(F.count("*")).scalar().alias("val_rows"),
+        parts.val.agg(positive).scalar().alias("val_positives"),
+    ]
 
 
 _SIZES_SQL = """count(*) FILTER (part = 'train') AS train_rows, count(*) FILTER (part = 'val') AS val_rows,
@@ -223,14 +226,12 @@ def _grid(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     tried = learn.trial_table(spark, trials)
     best_area = tried.where("best").agg(F.max("val_auroc")).scalar()
     n_best = tried.agg(F.count_if("best")).scalar()
-    return tried.crossJoin(F.broadcast(_part_sizes(parts))).select(
+    return tried.select(
         "params",
         _between("val_auroc", "val_aupr").alias("bounded"),
         (F.col("val_auroc") <= best_area).alias("none_better"),
         n_best.alias("n_best"),
-        "train_rows",
-        "val_rows",
-        "val_positives",
+        *_part_sizes(parts),
     )
 
 
