@@ -14,6 +14,7 @@ from leadtime.llm.language import held_out, identify_languages
 from leadtime.llm.mixing import mix, taken
 from leadtime.llm.packing import pack_documents
 from leadtime.llm.quality_rules import quality_rules
+from leadtime.llm.quality_sql import SQL as QUALITY_SQL
 from leadtime.llm.resampling import resample
 from leadtime.llm.scoring import score_documents
 from leadtime.llm.sharding import even_tree, shard_documents
@@ -109,3 +110,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir, "doc_id", "text")).drop("cleaned")
+
+
+# Fingerprints, draws, tokens, models and suffix orders are not SQL; the rules per line are.
+ORACLE["op10_quality_rules"] = QUALITY_SQL

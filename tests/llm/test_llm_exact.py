@@ -399,6 +399,12 @@ def test_quality_rules(spark, docs):
     assert all(k for k, q in judged if q == 1) and sum(k for k, q in judged if q == 0) <= 2
 
 
+def test_quality_rules_as_in_sql(spark):
+    from oracle import compare, database
+
+    assert compare(catalogue.QUERIES["op10_quality_rules"](spark, SF), database(SF), catalogue.ORACLE["op10_quality_rules"]) == []
+
+
 def shingles(text):
     words = BLANK.findall(lower(text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
