@@ -124,14 +124,15 @@ def _new_model(counts: np.ndarray, rare_sums: np.ndarray) -> GruModel:
     return GruModel(np.concatenate([counts, np.full(WORDS - len(counts), -1.0 + 1e-9)]), rare_sums)
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, rounds: int = 1, share: int = 8) -> GruModel:
-    """The model after ``rounds`` of training in every task on its own texts and averaging the weights by tokens.
+def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, rounds: int = 8) -> tuple[GruModel, int]:
+    """The model after ``rounds`` of training in every task on its own texts and averaging the weights by tokens,
+    and the tokens learnt from.
 
-    Round r takes the texts whose hash modulo ``share`` is r, so what is learnt from grows with the
-    corpus. All tasks start a round from the same weights, so their units stay comparable.
+    Round r takes the texts whose hash modulo ``rounds`` is r, so every text is learnt from once. All
+    tasks start a round from the same weights, so their units stay comparable.
     """
     context = texts.sparkSession.sparkContext
-    model = _new_model(counts, vocabulary.rare_sums)
+    model, learnt = _new_model(counts, vocabulary.rare_sums), 0
     words = context.broadcast(vocabulary)
     for number in range(rounds):
         sent = context.broadcast(model)
@@ -165,11 +166,14 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
                         [pa.array(at), pa.array(part * trainer.tokens), pa.array(np.full(len(part), trainer.tokens))], ["at", "value", "tokens"]
                     )
 
-        some = texts.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(share)) == number).select("bytes")
-        sums = some.mapInArrow(of, "at long, value double, tokens long").groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value"))
+        some = texts.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(rounds)) == number).select("bytes")
+        sums = some.mapInArrow(of, "at long, value double, tokens long").groupBy("at").agg(
+            (F.sum("value") / F.sum("tokens")).alias("value"), F.sum("tokens").alias("tokens")
+        )
         found = sums.toArrow()
         if not found.num_rows:
             continue
+        learnt += found["tokens"][0].as_py()
         flat = np.empty(found.num_rows)
         flat[found["at"].to_numpy()] = found["value"].to_numpy()
         at = 0
@@ -177,14 +181,14 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
             old = model.parameters[k]
             model.parameters[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
             at += old.size
-    return model
+    return model, learnt
 
 
-def score_documents(docs: DataFrame, training: DataFrame, *, rounds: int = 1, share: int = 8) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, *, rounds: int = 8) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``.
 
     Tokens are words and one end. ``base_score`` is the log10 probability by smoothed counts of all
-    texts of ``training``; ``score`` that by the recurrent model, over the whole text with its state
+    texts of ``training``; ``score`` that by the recurrent model, which learns from each of them once, over the whole text with its state
     carried on. A rare word has the probability of its class given the state, times its smoothed
     share of the class, so both are probabilities over the same tokens, one for all unseen words
     in the first, one to a class in the second. Null and empty texts are scored as one end. Without
@@ -195,7 +199,7 @@ def score_documents(docs: DataFrame, training: DataFrame, *, rounds: int = 1, sh
     learnt = texts(training)
     counts = written(word_counts(learnt))
     vocabulary, told = _vocabulary(counts)
-    model = train(learnt, vocabulary, told, rounds=rounds, share=share)
+    model, _ = train(learnt, vocabulary, told, rounds=rounds)
     context = docs.sparkSession.sparkContext
     words, sent = context.broadcast(vocabulary), context.broadcast(model)
 
