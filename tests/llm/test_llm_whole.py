@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from leadtime.llm import scoring
+from leadtime.llm.quality_rules import clean, quality_rules
 
 
 def test_every_training_text_is_learnt_from_once(spark):
@@ -17,3 +18,14 @@ def test_every_training_text_is_learnt_from_once(spark):
     alone, some = scoring.train(last, vocabulary, told)
     start = scoring._new_model(told, vocabulary.rare_sums)
     assert some and any((alone.parameters[k] != start.parameters[k]).any() for k in start.parameters)
+
+
+def test_lines_above_a_mebibyte_are_judged(spark):
+    filler = " ".join(f"word{i}" for i in range(120_000))
+    texts = {"boilerplate": f"{filler} click here to go on.", "navigation": " | ".join(filler.split()), "punctuation": filler}
+    for verdict, text in texts.items():
+        assert len(text) > 1 << 20
+        cleaned, facts = clean(text.encode())
+        assert (cleaned, facts[verdict], facts["kept_words"]) == ("", 1, 0)
+    rows = quality_rules(spark.createDataFrame([*texts.items(), ("good", f"{filler}.")], "doc_id string, text string")).collect()
+    assert {r.doc_id for r in rows if r.kept} == {"good"}
