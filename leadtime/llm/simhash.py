@@ -20,6 +20,10 @@ BITS = 64
 SEED = 42
 #: Fingerprints that share a block in such number are linked through their one-bit variants, not pair by pair.
 CROWD = 24
+#: Texts of so few shingles, where majorities tie often, also share a block by any of their least shingles.
+SHORT = 25
+#: Texts of a candidate group that are compared by their shingles at a time.
+COMPARED = 256
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -141,36 +145,52 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_groups(
-    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, words: int = 4, recall: float = 0.95, seed: int = 5
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, words: int = 4, recall: float = 0.99, seed: int = 5
 ) -> DataFrame:
     """``doc_id``, ``similar_id``: for near copies by shingle ``similarity``, the smallest doc_id of the group.
 
     Two bits of 64 tell nearly equal texts; a similarity of 0.8 turns about one bit in seven, so here
-    fingerprints have ``words`` times 64 bits, and pairs link that differ in as few as ``recall`` of
-    such pairs do. No deal of so many turned bits over blocks leaves a long block whole for certain:
-    blocks are sets of bits drawn at random, of a size at which about four unlike texts share one,
-    and as many that a pair at ``similarity`` shares one with probability ``recall``. Blocks of more
-    than ``CROWD`` are compared in pieces, each of which ties its texts to the least one found.
+    fingerprints have ``words`` times 64 bits. They only name candidates: pairs that share a block and
+    differ in no more bits than 0.995 of the pairs at ``similarity`` do. No deal of so many turned
+    bits over blocks leaves a long block whole for certain: blocks are sets of bits drawn at random,
+    of a size at which about four unlike texts share one, and as many that a pair at ``similarity``
+    shares one with probability ``recall``. Texts of ``SHORT`` shingles at most also share a block by
+    any of their least hashed shingles, so many that a pair at ``similarity`` has one in common.
+    Blocks of more than ``CROWD`` are compared in pieces, each of which ties its texts to the least
+    one found. Within a group that candidates connect, every pair of shingle sets is then compared,
+    and only pairs at ``similarity`` or above (Jaccard, shingles by 64-bit hash) are linked.
 
     Texts without a word link with nothing, and rows without a doc_id are left out. Rows that
     repeat a doc_id count as one document.
     """
-    bits, share = BITS * words, differing_share(similarity)
-    spread = 1.645 * sqrt(share * (1 - share) / bits)
-    limit = int((share + spread) * bits)
+    bits = BITS * words
+    # Ties of few shingles turn more bits: at 0.8 under 0.7 of 100 more from 20 shingles on, up to a quarter more below.
+    share, short_share = differing_share(similarity) + 0.007, 1.25 * differing_share(similarity)
+    limit, short_limit = (int((s + 2.576 * sqrt(s * (1 - s) / bits)) * bits) for s in (share, short_share))
     known = docs.where(F.col("doc_id").isNotNull())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(text.as_py(), width, words) for text in batch.column(1)]
-            kept = [i for i, p in enumerate(prints) if p is not None]
+            rows = []
+            for i, text in enumerate(batch.column(2)):
+                found = shingle_set(text.as_py(), width)
+                if len(found):
+                    # Equal sets share the second part of the print; few shingles may turn no bit of the first.
+                    name = wide_fingerprint(found, words) + xxhash.xxh3_128_digest(found.tobytes())
+                    least = found[: len(found) - ceil(similarity * len(found) - 1e-9) + 1] if len(found) <= SHORT else found[:0]
+                    rows.append((i, name, least.view(np.int64)))
+            at, names_, least = zip(*rows) if rows else ((),) * 3
+            at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([prints[i] for i in kept], pa.binary())], ["doc_id", "fp"]
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(names_, pa.binary()), pa.array(least, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "fp", "least"],
             )
 
-    prints = written(known.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(of, f"doc_id {kind}, fp binary"))
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    texts = known.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    prints = written(texts.mapInArrow(of, f"doc_id {kind}, text_hash long, fp binary, least array<bigint>"))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("least").alias("least"))
+    fps = written(firsts.select("fp", F.col("first.doc_id").alias("node"), F.col("first.text_hash").alias("text_hash"), "least"))
     block_bits = max(8, int(log2(max(fps.count(), 1))) - 1)
     together = (1 - share) ** block_bits
     blocks = ceil(log(1 - recall) / log(1 - together))
@@ -178,24 +198,26 @@ def wide_groups(
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, bits // 8)
+            raw = np.frombuffer(b"".join(fp[: bits // 8] for fp in batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, bits // 8)
             ones = np.unpackbits(raw, axis=1, bitorder="little")
             found = np.stack([ones[:, some] @ (1 << np.arange(block_bits, dtype=np.int64)) for some in chosen], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, blocks), pa.int32()), pa.array(found.ravel()))
+            lists = pa.array([np.concatenate([f, np.array(s, np.int64)]) for f, s in zip(found, batch.column(2).to_pylist())], pa.list_(pa.int64()))
             parts = [pa.array(np.ascontiguousarray(part)) for part in raw.view("<i8").T]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, *parts], ["node", "keys", *names])
 
     names = [f"w{i}" for i in range(words)]
-    coded = fps.select("node", "fp").mapInArrow(keys, f"node {kind}, keys array<bigint>, " + ", ".join(f"{n} long" for n in names))
-    placed = coded.select("node", *names, F.posexplode("keys").alias("choice", "block"))
+    coded = fps.select("node", "fp", "least").mapInArrow(keys, f"node {kind}, keys array<bigint>, " + ", ".join(f"{n} long" for n in names))
+    # All least shingles of short texts are one choice, the last.
+    placed = coded.select("node", *names, F.posexplode("keys").alias("choice", "block")).withColumn("choice", F.least("choice", F.lit(blocks)))
     shared = placed.groupBy("choice", "block").agg(F.count("*").alias("held")).where("held > 1")
     met = placed.join(shared, ["choice", "block"])
     few, many = met.where(F.col("held") <= CROWD), met.where(F.col("held") > CROWD).drop("held")
     x, y = few.alias("x"), few.alias("y")
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
+    most = F.when(F.col("x.choice") == blocks, short_limit).otherwise(limit)
     pairs = x.join(
         y,
-        (F.col("x.choice") == F.col("y.choice")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (apart <= limit),
+        (F.col("x.choice") == F.col("y.choice")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (apart <= most),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def tie(table: pa.Table) -> pa.Table:
@@ -203,7 +225,8 @@ def wide_groups(
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         prints = np.stack([table[n].to_numpy().view(np.uint64) for n in names], axis=1)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        a, b = np.nonzero(sum(np.bitwise_count(prints[left, i][:, None] ^ prints[right, i][None, :]).astype(np.int16) for i in range(words)) <= limit)
+        most = short_limit if table["choice"][0].as_py() == blocks else limit
+        a, b = np.nonzero(sum(np.bitwise_count(prints[left, i][:, None] ^ prints[right, i][None, :]).astype(np.int16) for i in range(words)) <= most)
         a, b = left[a], right[b]
         root = least_tied(len(own), a, b)
         tied = np.flatnonzero(root != np.arange(len(own)))
@@ -212,15 +235,33 @@ def wide_groups(
 
     paired = in_blocks(many, ["choice", "block"], ["node"], 512)
     ties = paired.groupBy("choice", "block", "low", "high").applyInArrow(tie, f"a {kind}, b {kind}")
-    same = prints.join(fps, "fp").select("doc_id", "node").distinct()
+    near = connected_components(written(pairs.union(ties).distinct()))
+
+    def verify(table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy()
+        left, right = (np.flatnonzero(own == table[side][0].as_py()) for side in ("low", "high"))
+        sets = [shingle_set(text.as_py(), width) for text in table["text"]]
+        common = common_shingles(sets, left, right)
+        sizes = np.array(list(map(len, sets)))
+        a, b = np.nonzero(common / (sizes[left][:, None] + sizes[right][None, :] - common) >= similarity)
+        root = least_tied(len(own), left[a], right[b])
+        tied = np.flatnonzero(root != np.arange(len(own)))
+        nodes = table["node"].combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(tied)), "b": nodes.take(pa.array(root[tied]))})
+
+    candidates = fps.select("node", F.col("text_hash").alias("hash")).join(near, "node").distinct()
+    told = texts.join(candidates, (F.col("doc_id") == F.col("node")) & (F.col("text_hash") == F.col("hash")))
+    told = written(told.dropDuplicates(["doc_id", "text_hash"]).select("node", "root", "hash", "text"))
+    close = in_blocks(told, ["root"], ["node", "hash"], COMPARED).groupBy("root", "low", "high").applyInArrow(verify, f"a {kind}, b {kind}")
+    same = prints.join(fps.select("fp", "node"), "fp").select("doc_id", "node").distinct()
     equal = same.where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = written(pairs.union(ties).distinct()).union(equal)
+    links = written(close.distinct()).union(equal)
     return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("similar_id"))
 
 
-def wide_fingerprint(text: bytes | None, width: int, words: int) -> bytes | None:
-    """SimHash of ``words`` times 64 bits over the set of word shingles; None for a text without words."""
-    ones, n, rest, seen = np.zeros((words, BITS), np.int64), 0, [], set()
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted hashes of the set of word shingles of the lower-cased text; none for a text without words."""
+    rest, seen = [], set()
     for piece in text_pieces((text or b"").lower()):
         found = rest + piece.split()
         shingles = [b" ".join(s) for s in zip(*(found[i:] for i in range(width)))]
@@ -228,9 +269,32 @@ def wide_fingerprint(text: bytes | None, width: int, words: int) -> bytes | None
         seen.update(map(xxhash.xxh3_64_intdigest, shingles))
     if not seen and rest:
         seen.add(xxhash.xxh3_64_intdigest(b" ".join(rest)))
-    if not seen:
-        return None
-    hashes = np.fromiter(seen, np.uint64, len(seen))
+    return np.sort(np.fromiter(seen, np.uint64, len(seen)))
+
+
+def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """How many hashes each of the sets ``left`` shares with each of the sets ``right``."""
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Hashes of one set only are common to no two.
+    several = held > 1
+    number = several.cumsum() - 1
+    some = several[place]
+    owner, place = owner[some], number[place[some]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(left), len(right)))
+    for start in range(0, int(several.sum()), at_once):
+        low, high = np.searchsorted(place, [start, start + at_once])
+        has = np.zeros((len(sets), at_once), np.float32)
+        has[owner[low:high], place[low:high] - start] = 1
+        common += has[left] @ has[right].T
+    return common
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """SimHash of ``words`` times 64 bits over the hashes of a set of shingles."""
+    ones, n = np.zeros((words, BITS), np.int64), 0
     for start in range(0, len(hashes), 1 << 14):
         some = hashes[start : start + (1 << 14)]
         n += len(some)

@@ -1,9 +1,12 @@
 """Operators do the whole job: each test fails on a version that left part of it out."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from leadtime.llm import scoring
 from leadtime.llm.quality_rules import clean, quality_rules
+from leadtime.llm.simhash import wide_groups
 
 
 def test_every_training_text_is_learnt_from_once(spark):
@@ -29,3 +32,31 @@ def test_lines_above_a_mebibyte_are_judged(spark):
         assert (cleaned, facts[verdict], facts["kept_words"]) == ("", 1, 0)
     rows = quality_rules(spark.createDataFrame([*texts.items(), ("good", f"{filler}.")], "doc_id string, text string")).collect()
     assert {r.doc_id for r in rows if r.kept} == {"good"}
+
+
+def with_shared(rng, size, shared):
+    """Two texts of ``size`` words whose five-word shingle sets have ``shared`` in common: one begins otherwise."""
+    words = [f"w{rng.random()}" for _ in range(size)]
+    own = size - 4 - shared
+    return " ".join(words), " ".join([f"v{rng.random()}" for _ in range(own)] + words[own:])
+
+
+def test_only_shingle_sets_at_the_similarity_are_linked(spark):
+    rng, rows = random.Random(5), []
+    # Of 180 shingles each: 160 in common are 0.8; 158 are 0.782; 150 are 0.714.
+    for shared in (160, 158, 150):
+        for _ in range(100):
+            rows += [(len(rows) + i, text) for i, text in enumerate(with_shared(rng, 184, shared))]
+    # Eight words against nine: four of five shingles.
+    for _ in range(100):
+        words = [f"w{rng.random()}" for _ in range(9)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
+    # Each text is near the next one only; the chain is one group.
+    words = [f"w{rng.random()}" for _ in range(400)]
+    chain = len(rows)
+    rows += [(chain + i, " ".join(words[10 * i : 10 * i + 204])) for i in range(15)]
+    found = {r.doc_id: r.similar_id for r in wide_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [sum(found.get(2 * i + 1) == 2 * i for i in range(k, k + 100)) for k in (0, 100, 200, 300)]
+    assert linked[0] >= 95 and linked[1:3] == [0, 0] and linked[3] >= 97
+    assert {found.get(chain + i) for i in range(15)} == {chain}
+    assert all(root == i or i - root == 1 or i >= chain for i, root in found.items())
