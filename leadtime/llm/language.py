@@ -232,11 +232,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float = 36.0) -> DataFrame:
+def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float = 12.0) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``spans`` of every row of ``docs``, from its text alone.
 
-    A change of language costs ``penalty``; letters count in some three overlapping features each, so
-    that is some 12 nats of evidence. The model counts all rows of ``training`` (``text``, ``lang``) and holds ``BUCKETS`` weights per
+    A change of language costs ``penalty`` nats; a span inside a text is told from twice that on. The model counts all rows of ``training`` (``text``, ``lang``) and holds ``BUCKETS`` weights per
     language. ``spans`` are the stretches of one language, with number of words. ``lang_pred`` is the
     language of most letters, the first by name if two are equal; ``score`` its share of them. Null
     texts, texts without a letter, and all texts where there is nothing to learn from, are ``und``

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from leadtime.llm import scoring
+from leadtime.llm.language import identify_languages, words_of
 from leadtime.llm.quality_rules import clean, quality_rules
 from leadtime.llm.simhash import wide_groups
 
@@ -60,3 +61,20 @@ def test_only_shingle_sets_at_the_similarity_are_linked(spark):
     assert linked[0] >= 95 and linked[1:3] == [0, 0] and linked[3] >= 97
     assert {found.get(chain + i) for i in range(15)} == {chain}
     assert all(root == i or i - root == 1 or i >= chain for i, root in found.items())
+
+
+def test_short_foreign_spans_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IS NOT NULL AND n_chars > 300")
+    known = [(r.lang, [w for some in words_of(r.text) for w in some]) for r in docs.orderBy("doc_id").collect()]
+    rng, rows, own = random.Random(9), [], []
+    for i in range(400):
+        (lang, words), (other, quoted) = rng.sample(known, 2)
+        if lang == other or min(len(words), len(quoted)) < 40:
+            continue
+        at, start = rng.randrange(10, len(words) - 10), rng.randrange(len(quoted) - 3)
+        rows.append((i, " ".join(words[at - 10 : at] + quoted[start : start + 3] + words[at : at + 10])))
+        own.append((i, other))
+    found = identify_languages(spark.createDataFrame(rows, "doc_id long, text string"), docs.select("text", "lang")).collect()
+    spans = {r.doc_id: r.spans for r in found}
+    told = sum(any(s.lang == other for s in spans[i]) for i, other in own) / len(own)
+    assert len(own) > 100 and told >= 0.98
