@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from leadtime.llm.common import ship
 from leadtime.llm.embeddings import near_vectors
 from leadtime.llm.language import held_out, identify_languages
+from leadtime.llm.lexical import SQL as LEXICAL_SQL
+from leadtime.llm.lexical import rank_documents
+from leadtime.llm.maxscore import SQL as MAXSCORE_SQL
+from leadtime.llm.maxscore import top_inner_products
 from leadtime.llm.mixing import mix, taken
 from leadtime.llm.packing import pack_documents
+from leadtime.llm.prefix_trie import SQL as TRIE_SQL
+from leadtime.llm.prefix_trie import conversation_nodes
 from leadtime.llm.quality_rules import quality_rules
 from leadtime.llm.quality_sql import SQL as QUALITY_SQL
 from leadtime.llm.resampling import resample
@@ -112,5 +118,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir, "doc_id", "text")).drop("cleaned")
 
 
-# Fingerprints, draws, tokens, models and suffix orders are not SQL; the rules per line are.
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return rank_documents(documents(spark, sf_dir, "doc_id", "text"), items, k=10)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"), every=100, limit=6)
+
+
+@query
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_inner_products(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+# Fingerprints, draws, tokens, models and suffix orders are not SQL; rules per line, ranks, tries and inner products are.
 ORACLE["op10_quality_rules"] = QUALITY_SQL
+ORACLE["op11_lexical_search"] = LEXICAL_SQL
+ORACLE["op12_prefix_trie"] = TRIE_SQL
+ORACLE["op13_exact_topk"] = MAXSCORE_SQL
