@@ -15,6 +15,8 @@ from leadtime.llm.common import written
 SHARD_ROWS = 2048
 SLAB_SHARDS = 4
 BLOCK_ROWS = 1024
+#: Ends of 64-bit whole numbers.
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
 #: Terms that are probed between two looks at the threshold.
 PROBED = 8
 
@@ -90,6 +92,8 @@ def search_shards(query_ids: np.ndarray, queries: np.ndarray, shards: list[Shard
         ids, scores = np.zeros(0, query_ids.dtype), np.zeros(0, queries.dtype)
         for shard in shards:
             met, score = shard.search(query, scores[-1] if len(scores) == k else None)
+            if score.dtype == object:
+                score = np.minimum(np.maximum(score, LEAST), GREATEST)
             other = shard.ids[met] != query_id
             ids, scores = np.append(ids, shard.ids[met[other]]), np.append(scores, score[other])
             if len(scores) > 4 * k:
@@ -131,7 +135,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, *, k: int = 5, scale
     Vectors that are null or hold null or non-finite components take no part, nor rows without a
     vec_id. Equal rows count once; rows of one vec_id with different vectors are rows of their own, and are
     no candidates of each other. Only vectors of one length meet; empty ones score 0. Scores
-    beyond 64 bits are computed in full and cut to the nearest 64-bit number. Other columns are ignored.
+    beyond 64 bits are computed in full and cut to the nearest 64-bit number, by which they rank. Other columns are ignored.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding")))
     whole = written(rows.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct())
@@ -164,7 +168,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, *, k: int = 5, scale
             found = tuple(np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, ids.dtype),) * 3
         if not len(found[0]):
             return empty
-        scores = [min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in found[2]]
+        scores = [int(s) for s in found[2]]
         kind = left["ids"].type.value_type
         return pa.table({"query_id": pa.array(found[0], kind), "vec_id": pa.array(found[1], kind), "score": pa.array(scores, pa.int64())})
 

@@ -262,13 +262,13 @@ def _plant(batches):
         yield forest_rows(TaskContext.get().partitionId(), *forest)
 
 
-def _graft(sealed: bool):
-    """A function that merges the forests of up to ``FAN`` neighbouring parts; ``sealed`` if there are no others."""
+def _graft(sealed: bool, fan: int):
+    """A function that merges the forests of up to ``fan`` neighbouring parts; ``sealed`` if there are no others."""
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["place"]))
         forest: tuple[list[Item], list[int]] = ([], [])
-        start, unit = 0, rows[0]["part"] // FAN
+        start, unit = 0, rows[0]["part"] // fan
         for i in range(1, len(rows) + 1):
             if i == len(rows) or rows[i]["part"] != rows[start]["part"]:
                 forest = appended(forest, read_forest(rows[start:i]))
@@ -357,7 +357,7 @@ def _distinct(seqs: DataFrame) -> DataFrame:
     return written(single.union(many.join(hashed, "path").select("path", "lengths", "n", "conv", "ends")))
 
 
-def prefix_trie(seqs: DataFrame) -> DataFrame:
+def prefix_trie(seqs: DataFrame, *, fan: int = FAN) -> DataFrame:
     """One row per distinct beginning of the sequences (``conv_id``, ``turns`` as of ``sequences``), the empty one included.
 
     ``conv_id`` is the smallest member, ``depth`` the number of turns, ``parent_conv_id`` the parent's
@@ -369,7 +369,7 @@ def prefix_trie(seqs: DataFrame) -> DataFrame:
     the edges between sorted neighbours, in descending order of the depth they share, makes a branching node of
     every merge. What cannot reach beyond a batch or a partition is final and written; the rest is contracted to
     two short spines of at most as many items as there are turns, and the forests of neighbouring partitions are
-    merged, ``FAN`` at a time, until one is left. Children closed before their parent find it by a key.
+    merged, ``fan`` at a time, until one is left. Children closed before their parent find it by a key.
 
     A conversation is one row of 36 bytes a turn, so its texts may be of any length, and one of a
     million turns takes some 36 MB; no other group is held whole, whatever its share of the rows. Rows without
@@ -382,10 +382,10 @@ def prefix_trie(seqs: DataFrame) -> DataFrame:
     nodes, forests = [level.where(F.col("kind") == _NODE)], level.where(F.col("kind") == _ITEM)
     last = forests.agg(F.max("part").alias("part")).first()["part"]
     while last is not None:
-        sealed = last < FAN
-        merged = written(forests.groupBy(F.expr(f"part div {FAN}")).applyInArrow(_graft(sealed), _FIELDS))
+        sealed = last < fan
+        merged = written(forests.groupBy(F.expr(f"part div {fan}")).applyInArrow(_graft(sealed, fan), _FIELDS))
         nodes.append(merged.where(F.col("kind") == _NODE))
-        forests, last = merged.where(F.col("kind") == _ITEM), None if sealed else last // FAN
+        forests, last = merged.where(F.col("kind") == _ITEM), None if sealed else last // fan
     whole = nodes[0]
     for more in nodes[1:]:
         whole = whole.union(more)
