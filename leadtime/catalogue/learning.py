@@ -21,6 +21,7 @@ from leadtime.operators import learn, metrics
 from leadtime.operators.asof import asof_bucketed
 from leadtime.operators.balance import oversample_minority
 from leadtime.operators.history import previous_outcome
+from leadtime.operators.indexing import slot_starts
 from leadtime.operators.levels import fold_rare_levels
 from leadtime.operators.split import time_split
 from leadtime.plans.training import Columns, Parts, explore, linear_parts, parts_of, train_boosting, tree_parts
@@ -68,7 +69,7 @@ SELECT l_linenumber AS level, CAST(row_number() OVER (ORDER BY count(*) DESC, CA
 )
 def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem", "l_linenumber").select(F.col("l_linenumber").cast("string").alias("level"))
-    indexed = learn.with_level_index(lines, "level", learn.level_table(lines, "level"), "level_idx")
+    indexed = learn.category_indexer(["level"]).fit(lines).transform(lines)
     return indexed.groupBy(F.col("level").cast("int").alias("level"), "level_idx").agg(F.count("*").alias("n"))
 
 
@@ -83,8 +84,8 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every level has a slot; only unseen and null have none."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
     indexed = learn.category_indexer(["l_returnflag"]).fit(lines).transform(lines)
-    encoded = learn.one_hot(["l_returnflag"]).fit(indexed).transform(indexed)
-    slots = vector_to_array("l_returnflag_class")
+    encoded = learn.one_hot(["l_returnflag"]).transform(indexed)
+    slots = vector_to_array("features")
     return encoded.select("l_orderkey", "l_linenumber", *[slots[i].cast("int").alias(f"slot{i}") for i in range(3)])
 
 
@@ -155,9 +156,10 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = line_parts(spark, sf_dir)
     prepared = learn.linear_features(LINE_COLUMNS.categoricals, LINE_COLUMNS.numericals).fit(parts.train)
     ready = parts.through(prepared)
-    at = {a["name"]: a["idx"] for a in learn.vector_attributes(ready.train, "features")}
+    indexer = prepared.stages[0]
+    at = {name: sum(indexer.getSizes()) + i for i, name in enumerate(LINE_COLUMNS.numericals)}
     slots = vector_to_array("scaledFeatures")
-    first_line = min(i for name, i in at.items() if name.startswith("line_class"))
+    first_line = slot_starts(indexer)["line"]
     named = [
         frame.select(
             F.lit(part).alias("part"),
@@ -210,9 +212,9 @@ SELECT CAST(row_number() OVER (ORDER BY c, i) - 1 AS INTEGER) AS idx, name, true
 @query(_SLOTS_SQL)
 def l1_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature slot, and whether the L1 penalty keeps just those it gives a weight."""
-    with linear_parts(line_parts(spark, sf_dir), LINE_COLUMNS) as (ready, _):
+    with linear_parts(line_parts(spark, sf_dir), LINE_COLUMNS) as (ready, prepared):
         slicer, lasso = learn.l1_slicer(ready.train)
-        weights = learn.importances(spark, lasso.coefficients.toArray(), ready.train, "features")
+    weights = learn.slot_weights(spark, lasso.coefficients.toArray(), prepared.stages[0], LINE_COLUMNS.numericals)
     kept = F.col("idx").isin(*slicer.getIndices())
     return weights.select(
         "idx", "name", ((F.col("score") != 0) == kept).alias("kept_if_weighed"), F.lit(len(slicer.getIndices()) > 0).alias("some_kept")

@@ -1,8 +1,7 @@
 """Feature vectors, feature selection, model grids and importances on Spark ML.
 
 Everything is fitted on the training part alone and with an explicit seed. What comes back to the
-driver is what a model is made of: category levels (fold rare ones first), coefficients, scores.
-``level_table`` indexes levels of any number without the driver.
+driver is what a model is made of: coefficients, trees, areas. Levels of categories stay in tables (``indexing``).
 """
 
 from __future__ import annotations
@@ -10,18 +9,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadtime.operators.running import running_totals
+from leadtime.operators.indexing import LevelIndexer, LevelIndexerModel, SlotAssembler, level_tables, slot_names
+from leadtime.operators.metrics import curve_areas
 
 SEED = 42
 
@@ -31,33 +32,18 @@ def _named(columns: Sequence[str], suffix: str) -> list[str]:
 
 
 def level_table(df: DataFrame, column: str) -> DataFrame:
-    """``level``, ``n`` and ``idx`` of every level: 0 for the most frequent, equals in order of their text.
+    """``level`` as text, ``n`` and ``idx`` of every level: 0 for the most frequent, equals in order of their text."""
+    return level_tables(df, [column]).drop("at")
 
-    The levels are counted, and ranked by running totals over slices, so they may be as many as they like.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.count("*").alias("n"))
-    placed = counts.select(
-        "level", "n", F.struct((-F.col("n")).alias("n"), F.col("level").cast("string").alias("text")).alias("place"), F.lit(1).cast("long").alias("one")
-    )
-    return running_totals(placed, "place", ["one"]).select("level", "n", (F.col("run_one") - 1).cast("double").alias("idx"))
-
-
-def with_level_index(df: DataFrame, column: str, levels: DataFrame, index: str) -> DataFrame:
-    """Add the index that ``levels`` gives a row's level; null for null and unseen levels."""
-    entries = levels.select(F.col("level").alias("__level"), F.col("idx").alias(index))
-    return df.join(entries, F.col(column) == F.col("__level"), "left").drop("__level")
 
-
-def category_indexer(categoricals: Sequence[str]) -> StringIndexer:
+def category_indexer(categoricals: Sequence[str]) -> LevelIndexer:
     """``<c>_idx`` per category: 0 for the most frequent level, an index of its own for unseen and null."""
-    return StringIndexer(
-        inputCols=list(categoricals), outputCols=_named(categoricals, "_idx"), handleInvalid="keep"
-    )
+    return LevelIndexer(inputCols=list(categoricals), outputCols=_named(categoricals, "_idx"))
 
 
-def one_hot(categoricals: Sequence[str]) -> OneHotEncoder:
-    """``<c>_class`` per category; the index for unseen and null is the zero vector."""
-    return OneHotEncoder(inputCols=_named(categoricals, "_idx"), outputCols=_named(categoricals, "_class"))
+def one_hot(categoricals: Sequence[str], numericals: Sequence[str] = (), output: str = "features") -> SlotAssembler:
+    """A slot per level, none for unseen and null, then the numbers, in one sparse vector."""
+    return SlotAssembler(inputCols=_named(categoricals, "_idx"), numericals=list(numericals), outputCol=output)
 
 
 def label_indexer(outcome: str, label: str = "label") -> StringIndexer:
@@ -79,8 +65,7 @@ def linear_features(categoricals: Sequence[str], numericals: Sequence[str], *, c
     return Pipeline(
         stages=[
             category_indexer(categoricals),
-            one_hot(categoricals),
-            VectorAssembler(inputCols=_named(categoricals, "_class") + list(numericals), outputCol="features"),
+            one_hot(categoricals, numericals),
             StandardScaler(inputCol="features", outputCol="scaledFeatures", withMean=center, withStd=True),
         ]
     )
@@ -99,7 +84,7 @@ def vector_attributes(df: DataFrame, column: str) -> list[dict]:
 
 def max_bins(df: DataFrame, column: str, at_least: int = 32) -> int:
     """Bins a tree needs so that every category in the vector fits, unseen levels included."""
-    return max([at_least, *(len(a.get("vals", ())) for a in vector_attributes(df, column))])
+    return max([at_least, *(a.get("num_vals") or len(a.get("vals", ())) for a in vector_attributes(df, column))])
 
 
 def l1_slicer(
@@ -148,20 +133,34 @@ def boosting(features: str, bins: int, label: str = "label", seed: int = SEED) -
     )
 
 
-def areas(predictions: DataFrame, label: str = "label") -> tuple[float, float]:
-    """AUROC and AUPR by Spark ML's evaluator, which thins the curve to about 1000 thresholds."""
-    evaluator = BinaryClassificationEvaluator(labelCol=label)
-    return tuple(
-        evaluator.evaluate(predictions, {evaluator.metricName: name}) for name in ("areaUnderROC", "areaUnderPR")
-    )
+def scored_by_all(models: Mapping[str, Model], frame: DataFrame, label: str = "label", carried: Sequence[str] = ()) -> DataFrame:
+    """``model``, ``score`` of class 1 and ``label``, a row per row of ``frame`` and model, in one pass over ``frame``."""
+    for i, model in enumerate(models.values()):
+        # Nothing but the raw score of a model is computed.
+        only = {model.getParam("rawPredictionCol"): f"__raw{i}", model.getParam("probabilityCol"): "", model.getParam("predictionCol"): ""}
+        frame = model.copy(only).transform(frame)
+    scores = [F.struct(F.lit(name).alias("model"), vector_to_array(f"__raw{i}")[1].alias("score")) for i, name in enumerate(models)]
+    return frame.select(*carried, F.col(label).alias("label"), F.inline(F.array(*scores)))
+
+
+def areas(models: Mapping[str, Model], parts: Mapping[str, DataFrame], label: str = "label") -> dict[tuple[str, str], tuple[float | None, float | None]]:
+    """Exact AUROC and AUPR of every model on every part, by (part, model): all of them from one scan of each part.
+
+    An area is None where a class has no rows. Scores are counted per model before they are sorted; the sort
+    and its running totals are shared by all models and parts.
+    """
+    tagged = [scored_by_all(models, frame.withColumn("part", F.lit(part)), label, ["part"]) for part, frame in parts.items()]
+    found = curve_areas(reduce(DataFrame.union, tagged), by=["part", "model"]).collect()
+    whole = dict.fromkeys(product(parts, models), (None, None))
+    return {**whole, **{(r["part"], r["model"]): (r["auroc"], r["aupr"]) for r in found}}
 
 
 @dataclass
 class Trial:
     params: dict[str, Any]
     model: Model
-    auroc: float
-    aupr: float
+    auroc: float | None
+    aupr: float | None
 
 
 def combinations_of(grid: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
@@ -178,30 +177,31 @@ def holdout_grid(
     label: str = "label",
     parallelism: int = 3,
 ) -> list[Trial]:
-    """Fit every combination on ``train``, score it on ``val``. Persist both before the call.
+    """Fit every combination on ``train``, score all on one pass over ``val``. Persist both before the call.
 
-    A few combinations run at a time, so that tasks of one fill the gaps of another.
+    A few combinations are fitted at a time, so that tasks of one fill the gaps of another.
     """
+    combinations = combinations_of(grid)
 
-    def trial(params: dict[str, Any]) -> Trial:
-        model = estimator.copy({estimator.getParam(k): v for k, v in params.items()}).fit(train)
-        return Trial(params, model, *areas(model.transform(val), label))
+    def fitted(params: dict[str, Any]) -> Model:
+        return estimator.copy({estimator.getParam(k): v for k, v in params.items()}).fit(train)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        session = SparkSession.active()
-        return list(pool.map(inheritable_thread_target(session)(trial), combinations_of(grid)))
+        models = list(pool.map(inheritable_thread_target(SparkSession.active())(fitted), combinations))
+    worth = areas({str(i): m for i, m in enumerate(models)}, {"val": val}, label)
+    return [Trial(params, model, *worth["val", str(i)]) for i, (params, model) in enumerate(zip(combinations, models))]
 
 
 def best(trials: Sequence[Trial]) -> Trial:
-    """The first trial with the highest AUROC."""
-    return max(trials, key=lambda t: t.auroc)
+    """The first trial with the highest AUROC; one without comes last."""
+    return max(trials, key=lambda t: -1.0 if t.auroc is None else t.auroc)
 
 
 def trial_table(spark: SparkSession, trials: Sequence[Trial]) -> DataFrame:
     """One row per trial: its parameters as text, its areas, whether it is the best."""
     chosen = best(trials)
     rows = [
-        (", ".join(f"{k}={v}" for k, v in t.params.items()), float(t.auroc), float(t.aupr), t is chosen)
+        (", ".join(f"{k}={v}" for k, v in t.params.items()), t.auroc, t.aupr, t is chosen)
         for t in trials
     ]
     return spark.createDataFrame(rows, "params string, val_auroc double, val_aupr double, best boolean")
@@ -210,8 +210,9 @@ def trial_table(spark: SparkSession, trials: Sequence[Trial]) -> DataFrame:
 def model_scores(
     spark: SparkSession, models: Mapping[str, Model], train: DataFrame, test: DataFrame, label: str = "label"
 ) -> DataFrame:
-    """One row per model: areas on the training and the test part."""
-    rows = [(name, *areas(m.transform(train), label), *areas(m.transform(test), label)) for name, m in models.items()]
+    """One row per model: exact areas on the training and the test part."""
+    worth = areas(models, {"train": train, "test": test}, label)
+    rows = [(name, *worth["train", name], *worth["test", name]) for name in models]
     return spark.createDataFrame(
         rows, "model string, train_auroc double, train_aupr double, test_auroc double, test_aupr double"
     )
@@ -222,3 +223,9 @@ def importances(spark: SparkSession, scores: Iterable[float], df: DataFrame, col
     by_slot = list(scores)
     rows = [(a["idx"], a["name"], float(by_slot[a["idx"]])) for a in vector_attributes(df, column)]
     return spark.createDataFrame(rows, "idx int, name string, score double")
+
+
+def slot_weights(spark: SparkSession, weights: Iterable[float], indexer: LevelIndexerModel, numericals: Sequence[str]) -> DataFrame:
+    """Slot, name and weight of every slot of ``linear_features``; names come from the level table by a join."""
+    values = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "idx int, score double")
+    return slot_names(spark, indexer, numericals).join(values, "idx")

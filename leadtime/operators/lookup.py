@@ -7,6 +7,7 @@ derived tables pass through ``sized``, which counts first.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from leadtime.functions.casts import text_to_int
 from leadtime.functions.clock import HOUR
 
 BROADCAST_ROWS = 200_000
+#: A key with this share of the rows is heavy: more than one task of a wide shuffle should hold.
+HEAVY_SHARE = 0.01
 
 
 def sized(side: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,6 +42,40 @@ def looked_up(
     return df.join(entries, F.col(key) == F.col("__key"), how).drop("__key")
 
 
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, tracked: int = 4096) -> list:
+    """Keys that may hold at least ``share`` of the rows, by a sketch of ``tracked`` counters a task.
+
+    Frequent items are never missed: counts of the sketch are at most too low by rows / counters. At most
+    about ``1 / share`` keys come to the driver.
+    """
+    counted = df.where(F.col(key).isNotNull()).agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {ceil(2 / share)}, {tracked})").alias("top")
+    ).first()
+    least = counted["n"] * (share - 2 / tracked)
+    return [item["item"] for item in counted["top"] or [] if item["count"] >= least]
+
+
+def spread_lookup(
+    df: DataFrame, key: str, dimension: DataFrame, dimension_key: str, columns: Mapping[str, str], how: str = "left", *, share: float = HEAVY_SHARE
+) -> DataFrame:
+    """``looked_up`` in a large dimension by a key that may be the same in a third of the rows.
+
+    The heaviest keys of ``df`` are found by a sketch. Their entries, a bounded few, are broadcast and their
+    rows never move; all other rows meet the dimension by shuffle, in which no key is heavy any more. Rows
+    without a key go with the heavy ones. ``df`` is read for the sketch and once for either part.
+    """
+    entries = dimension.select(F.col(dimension_key).alias("__key"), *[F.col(c).alias(name) for c, name in columns.items()])
+    same = F.col(key) == F.col("__key")
+    heavy = heavy_keys(df, key, share)
+    if not heavy:
+        known = df.where(F.col(key).isNotNull()).join(entries, same, how)
+        few = df.where(F.col(key).isNull()).join(F.broadcast(entries.limit(0)), same, how)
+        return known.union(few).drop("__key")
+    is_heavy = F.col(key).isin(heavy)
+    few = df.where(is_heavy | F.col(key).isNull()).join(F.broadcast(entries.where(F.col("__key").isin(heavy))), same, how)
+    return df.where(~is_heavy).join(entries.where(~F.col("__key").isin(heavy)), same, how).union(few).drop("__key")
+
+
 def rank_features(
     df: DataFrame,
     ranks: DataFrame,

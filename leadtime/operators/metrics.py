@@ -20,21 +20,21 @@ def scored(predictions: DataFrame, vector: str = "rawPrediction", score: str = "
     return predictions.withColumn(score, vector_to_array(vector)[1])
 
 
-def threshold_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def threshold_counts(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, from high to low: rows of each class at it, at or above it, and in all.
 
-    Columns ``threshold``, ``pos``, ``neg``, ``run_pos``, ``run_neg``, ``total_pos``, ``total_neg``.
+    Columns ``threshold``, ``pos``, ``neg``, ``run_pos``, ``run_neg``, ``total_pos``, ``total_neg``, for each group of ``by``.
     """
     at = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).alias("threshold"))
+        .groupBy(*by, F.col(score).alias("threshold"))
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     )
-    return running_totals(at, "threshold", ["pos", "neg"], descending=True)
+    return running_totals(at, "threshold", ["pos", "neg"], by, descending=True)
 
 
-def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: exact ``auroc`` and ``aupr`` (trapezoids; the first precision reaches back to recall 0).
+def curve_areas(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per group of ``by``: exact ``auroc`` and ``aupr`` (trapezoids; the first precision reaches back to recall 0).
 
     Each trapezoid needs only the running totals of its own row, so both areas are plain sums, of
     doubles: products of counts outgrow integers at some three thousand million rows a class.
@@ -45,7 +45,8 @@ def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> Da
     precision = tp / (tp + fp)
     before = F.coalesce(F.try_divide(tp_before, tp_before + fp_before), precision)
     return (
-        threshold_counts(df, score, label)
+        threshold_counts(df, score, label, by)
+        .groupBy(*by)
         .agg(
             F.sum("pos").alias("positives"),
             F.sum("neg").alias("negatives"),
@@ -53,6 +54,7 @@ def curve_areas(df: DataFrame, score: str = "score", label: str = "label") -> Da
             F.sum(pos * (before + precision) / 2).alias("__pr"),
         )
         .select(
+            *by,
             "positives",
             "negatives",
             F.try_divide(F.try_divide(F.col("__roc"), "positives"), "negatives").alias("auroc"),
