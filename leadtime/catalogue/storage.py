@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadtime.catalogue.registry import query, table
+from leadtime.functions.clock import epoch_seconds
 from leadtime.session import query_root
-from leadtime.sources.stages import read_stage, stage_once, stage_path, write_stage
+from leadtime.sources.stages import read_stage, restage, stage_once, stage_path, write_stage
 from leadtime.sources.tables import delimited_lookup, scan_csv, scan_parquet
 
 
@@ -21,18 +22,39 @@ def stage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey", name="stage_once")
 def stage_computed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second call finds the stage and does not compute."""
+    """Counts over some customers; again, which finds the stage; and once the others have arrived, which computes anew."""
     root = query_root(spark)
-    customers = table(spark, sf_dir, "customer", "c_nationkey")
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    arrived = stage_path(root, "customers", "arrived")
+    customers.where("c_custkey % 3 = 0").write.parquet(arrived)
 
-    def count() -> DataFrame:
-        return customers.groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    def counts(compute: bool) -> DataFrame:
+        rows = scan_parquet(spark, arrived, schema=customers.schema)
 
-    def never() -> DataFrame:
-        raise AssertionError("computed twice")
+        def count() -> DataFrame:
+            if not compute:
+                raise AssertionError("computed twice")
+            return rows.groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
-    stage_once(spark, root, "customers", "counts", count)
-    return stage_once(spark, root, "customers", "counts", never)
+        return stage_once(spark, root, "customers", "counts", count, parameters={"by": "nation"}, inputs=[rows])
+
+    counts(True)
+    counts(False)
+    customers.where("c_custkey % 3 <> 0").write.mode("append").parquet(arrived)
+    return counts(True)
+
+
+@query(
+    """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, epoch_us(o_orderdate) // 1000000 AS t FROM orders
+WHERE epoch_us(o_orderdate) // 1000000 > (SELECT min(epoch_us(o_orderdate) // 1000000) + floor((max(epoch_us(o_orderdate) // 1000000) - min(epoch_us(o_orderdate) // 1000000)) * 0.9) FROM orders)"""
+)
+def clustered_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last tenth of time of a stage laid out by time: the cut is a range filter that skips the other files' rows."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", epoch_seconds(F.col("o_orderdate")).alias("t"))
+    staged = restage(orders, query_root(spark), "orders", "by_time", cluster_by="t")
+    cut = staged.agg(F.min("t") + F.floor((F.max("t") - F.min("t")) * F.lit(0.9))).scalar()
+    return staged.where(F.col("t") > cut)
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier", name="csv_scan")
@@ -49,11 +71,14 @@ SELECT CAST(max(c_custkey) AS VARCHAR) AS last_key, c_mktsegment FROM customer G
     name="delimited_repeats",
 )
 def delimited_repeated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as ``key:segment`` lines of one file in order of their keys: a segment occurs often, its last line counts."""
+    """Customers as ``key:segment`` lines in order of their keys: a segment occurs often, its last line counts.
+
+    Ranges of keys become files whose names are in the same order, which is the order of lines for the lookup.
+    """
     customers = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     path = stage_path(query_root(spark), "customer", "segments")
     lines = customers.select(F.concat_ws(":", F.col("c_custkey").cast("string"), "c_mktsegment", F.lit("rest")).alias("value"), "c_custkey")
-    lines.coalesce(1).sortWithinPartitions("c_custkey").select("value").write.text(path)
+    lines.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select("value").write.text(path)
     return delimited_lookup(spark, path, value="last_key", key="c_mktsegment")
 
 

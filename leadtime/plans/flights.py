@@ -29,22 +29,41 @@ from leadtime.sources.stages import restage, save_model, stage_once
 # Names and types of the published flight and weather tables, the layout of packed
 # weather fields, their codes for "missing", the codes of erroneous readings, the report type.
 FLIGHT_TYPES = {
-    **dict.fromkeys(
-        [
-            "ORIGIN", "ORIGIN_CITY_NAME", "ORIGIN_AIRPORT_ID", "DEST_AIRPORT_ID", "OP_CARRIER_AIRLINE_ID",
-            "OP_CARRIER_FL_NUM", "TAIL_NUM", "DEP_TIME_BLK", "ARR_TIME_BLK", "CRS_DEP_TIME", "CRS_ARR_TIME", "FL_DATE",
-        ],
-        "string",
-    ),
-    **dict.fromkeys(["CRS_ELAPSED_TIME", "DEP_DELAY"], "float"),
+    "ORIGIN": "string",
+    "ORIGIN_CITY_NAME": "string",
+    "ORIGIN_AIRPORT_ID": "string",
+    "DEST_AIRPORT_ID": "string",
+    "OP_CARRIER_AIRLINE_ID": "string",
+    "OP_CARRIER_FL_NUM": "string",
+    "TAIL_NUM": "string",
+    "DEP_TIME_BLK": "string",
+    "ARR_TIME_BLK": "string",
+    "CRS_DEP_TIME": "string",
+    "CRS_ARR_TIME": "string",
+    "CRS_ELAPSED_TIME": "float",
     "DISTANCE": "double",
-    **dict.fromkeys(["DISTANCE_GROUP", "QUARTER", "MONTH", "DAY_OF_MONTH", "DAY_OF_WEEK", "DEP_DEL15"], "int"),
-}
+    "DISTANCE_GROUP": "int",
+    "QUARTER": "int",
+    "MONTH": "int",
+    "DAY_OF_MONTH": "int",
+    "DAY_OF_WEEK": "int",
+    "FL_DATE": "string",
+    "DEP_DELAY": "float",
+    "DEP_DEL15": "int",
+}
 REPORT_TYPE = "FM-15"
 REPORT_TYPES = {
-    **dict.fromkeys(["STATION", "CALL_SIGN", "WND", "CIG", "VIS", "TMP", "DEW", "SLP"], "string"),
+    "STATION": "string",
     "DATE": "timestamp",
-    **dict.fromkeys(["LATITUDE", "LONGITUDE"], "double"),
+    "LATITUDE": "double",
+    "LONGITUDE": "double",
+    "CALL_SIGN": "string",
+    "WND": "string",
+    "CIG": "string",
+    "VIS": "string",
+    "TMP": "string",
+    "DEW": "string",
+    "SLP": "string",
 }
 PACKED_LAYOUT = {
     "WND": ["WND_DIR_ANGLE", "WND_DIR_QUALITY", "WND_TYPE", "WND_SPEED_RATE", "WND_SPEED_QUALITY"],
@@ -70,8 +89,15 @@ QUALITY = [
 ERRONEOUS = ["3", "7"]
 READING_TYPES = {
     "DATE": "timestamp",
-    **dict.fromkeys(["STATION", "CALL_SIGN"], "string"),
-    **dict.fromkeys(MISSING, "float"),
+    "STATION": "string",
+    "CALL_SIGN": "string",
+    "WND_DIR_ANGLE": "float",
+    "WND_SPEED_RATE": "float",
+    "CIG_HEIGHT_DIM": "float",
+    "VIS_DIS_DIM": "float",
+    "AIR_TMP": "float",
+    "DEW_POINT_TMP": "float",
+    "SLP_PSR": "float",
 }
 
 # Columns the models use, the codes for folded levels.
@@ -231,7 +257,7 @@ def joined_flights(sources: Sources, *, flights: DataFrame | None = None, exact:
 
 # Names under which stages and models are kept.
 RANKS, CLEAN, ORIGINAL, PROPOSED = "pageranks", "flights", "original", "proposed_features"
-REDUCED = ["reducedTrainingData", "reducedValData", "reducedTestData"]
+REDUCED = ["reduced_trainingData", "reduced_valData", "reduced_testData"]
 
 
 @dataclass
@@ -270,21 +296,25 @@ def shape_of(sources: Sources, *, exact: bool, oversample: str | None = None) ->
 
 
 def prepared(spark: SparkSession, sources: Sources, root: str, scope: str, *, every_flight: DataFrame | None, exact: bool) -> DataFrame:
-    """The feature stage of a scope; what is there already, made by the same parameters, is taken as it is.
+    """The feature stage of a scope; what is there already, made by the same parameters from unchanged inputs, is taken as it is.
 
     Ranks come from ``every_flight``, the flights of the full range, whatever the scope; without
-    them, from those of the scope, and are then kept with the scope.
+    them, from those of the scope, and are then kept with the scope. A source that is None is not asked
+    whether it has changed. Joined flights and features are laid out by time, so that the parts' range filters skip files.
     """
     whole = every_flight is not None
-    ranks = stage_once(
-        spark, root, "all" if whole else scope, RANKS, lambda: airport_ranks(every_flight if whole else sources.flights)
-    )
-    shape = shape_of(sources, exact=exact)
-    flights = stage_once(spark, root, scope, CLEAN, lambda: clean_flights(sources.flights))
+    ranked = every_flight if whole else sources.flights
+    ranks = stage_once(spark, root, "all" if whole else scope, RANKS, lambda: airport_ranks(ranked), inputs=[ranked])
+    shape, parameters = shape_of(sources, exact=exact), {"min_date": sources.min_date, "exact": exact}
+    flights = stage_once(spark, root, scope, CLEAN, lambda: clean_flights(sources.flights), inputs=[sources.flights])
     joined = stage_once(
-        spark, root, scope, f"{ORIGINAL}_{shape}", lambda: joined_flights(sources, flights=flights, exact=exact)
-    )
-    return stage_once(spark, root, scope, f"{PROPOSED}_{shape}", lambda: proposed_features(joined, ranks))
+        spark, root, scope, f"{ORIGINAL}_{shape}", lambda: joined_flights(sources, flights=flights, exact=exact),
+        parameters=parameters, inputs=[flights, sources.weather, sources.stations, sources.codes, sources.zones], cluster_by=FEATURES.time,
+    )
+    return stage_once(
+        spark, root, scope, f"{PROPOSED}_{shape}", lambda: proposed_features(joined, ranks),
+        parameters=parameters, inputs=[joined, ranks], cluster_by=FEATURES.time,
+    )
 
 
 def tried(
@@ -297,17 +327,21 @@ def tried(
     exact: bool = False,
     oversample: str = "train",
 ) -> Exploration:
-    """Every kind of model tried on a scope; the chosen ones are saved and the reduced parts written."""
+    """Every kind of model tried on a scope; the chosen ones are saved and the reduced parts written.
+
+    Both lie under names that tell the parameters, so runs with others leave them alone.
+    """
     features = prepared(spark, sources, root, scope, every_flight=every_flight, exact=exact)
-    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, f"{scope}/{shape_of(sources, exact=exact, oversample=oversample)}")
+    place = f"{scope}/{shape_of(sources, exact=exact, oversample=oversample)}"
+    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, place)
 
     def keep(reduced: Parts) -> None:
         for name, frame in zip(REDUCED, (reduced.train, reduced.val, reduced.test)):
-            restage(frame, root, scope, name)
+            restage(frame, root, place, name)
 
     found = explore(parts, FEATURES, keep=keep)
     for name, model in found.models.items():
-        save_model(model, root, f"{scope}_{name.replace(' ', '_')}")
+        save_model(model, root, f"{place}/{name.replace(' ', '_')}")
     return found
 
 
@@ -321,17 +355,17 @@ def run(
     exact: bool = False,
     oversample: str = "train",
 ) -> Outcome:
-    """All steps; stages already written under ``root/scope`` by the same parameters are taken as they are.
+    """All steps; stages already written under ``root/scope`` by the same parameters from unchanged inputs are taken as they are.
 
     Returns the tuned model with its trials and the scored test part, which are saved as well, and
     its evaluation.
     """
     features = prepared(spark, sources, root, scope, every_flight=every_flight, exact=exact)
-    shape = shape_of(sources, exact=exact, oversample=oversample)
-    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, f"{scope}/{shape}")
+    place = f"{scope}/{shape_of(sources, exact=exact, oversample=oversample)}"
+    parts = parts_of(features, FEATURES, oversample=oversample).staged(root, place)
     final = train_boosting(parts, FEATURES)
-    save_model(final.model, root, f"{scope}_boosting")
+    save_model(final.model, root, f"{place}/boosting")
     scored = restage(
-        final.predictions.select("label", "rawPrediction", "probability", "prediction"), root, scope, "predictions"
+        final.predictions.select("label", "rawPrediction", "probability", "prediction"), root, place, "predictions"
     )
     return evaluated(spark, Final(final.model, final.trials, metrics.scored(scored), parts.test))

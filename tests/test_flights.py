@@ -5,10 +5,11 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.ml import PipelineModel
 
 from leadtime.operators import learn
 from leadtime.plans import flights as plan
-from leadtime.sources.stages import stage_exists
+from leadtime.sources.stages import load_model, read_stage, stage_exists
 
 AIRPORTS = {"AAA": ("1", "KAAA", "72500000001"), "BBB": ("2", "KBBB", "72500000002"), "CCC": ("3", "KCCC", "72500000003")}
 START = datetime(2015, 1, 1)
@@ -106,14 +107,14 @@ def test_whole_flow(spark, sources, tmp_path, monkeypatch):
     outcome = plan.run(spark, sources, root, "small", every_flight=sources.flights)
     final = outcome.final
     assert final.trials[0].auroc > 0.8
-    features = spark.read.parquet(f"{root}/small/proposed_features_from20150101_bucketed")
+    features = read_stage(spark, root, "small", "proposed_features_from20150101_bucketed")
     assert features.columns == [*plan.FEATURES.categoricals, *plan.FEATURES.numericals, "AIRLINE_TIMESTAMP", "DEP_DEL15"]
     assert features.where("abs(DAY_OF_YEAR_sin * DAY_OF_YEAR_sin + DAY_OF_YEAR_cos * DAY_OF_YEAR_cos - 1) > 1e-9").count() == 0
-    ranks = {r.id: r.pagerank for r in spark.read.parquet(f"{root}/all/pageranks").collect()}
+    ranks = {r.id: r.pagerank for r in read_stage(spark, root, "all", "pageranks").collect()}
     assert math.isclose(sum(ranks.values()), 3) and set(ranks) == {"1", "2", "3"}
-    for stage in ("flights", "original_from20150101_bucketed", "predictions"):
+    for stage in ("flights", "original_from20150101_bucketed"):
         assert stage_exists(spark, root, "small", stage)
-    for stage in ("trainingData", "valData", "testData"):
+    for stage in ("trainingData", "valData", "testData", "predictions"):
         assert stage_exists(spark, root, "small/from20150101_bucketed_train", stage)
     rows = final.predictions.count()
     assert rows == final.test.count()
@@ -128,9 +129,17 @@ def test_whole_flow(spark, sources, tmp_path, monkeypatch):
     nothing = plan.Sources(*[None] * 5, 20150101)
     again = plan.run(spark, nothing, root, "small", every_flight=sources.flights)
     assert again.final.trials[0].auroc == pytest.approx(final.trials[0].auroc)
-    # Another join is another stage.
-    plan.prepared(spark, sources, root, "small", every_flight=sources.flights, exact=True)
+    # Another join is another run beside the first, whose outcome can still be read.
+    other = plan.run(spark, sources, root, "small", every_flight=sources.flights, exact=True)
     assert stage_exists(spark, root, "small", "original_from20150101_exact")
+    for shape in ("bucketed", "exact"):
+        assert load_model(PipelineModel, root, f"small/from20150101_{shape}_train/boosting").transform(final.test).count() == rows
+        assert stage_exists(spark, root, f"small/from20150101_{shape}_train", "predictions")
+    assert final.predictions.count() == rows and other.final.predictions.count() == other.final.test.count()
+    # Changed flights are noticed: everything that rests on them is made anew.
+    fewer = plan.Sources(**{**sources.__dict__, "flights": sources.flights.where("ORIGIN <> 'CCC'")})
+    changed = plan.prepared(spark, fewer, root, "small", every_flight=sources.flights, exact=False)
+    assert 0 < changed.count() < features.count()
 
 
 def test_every_kind_of_model_is_tried_and_saved(spark, sources, tmp_path, monkeypatch):
@@ -142,6 +151,6 @@ def test_every_kind_of_model_is_tried_and_saved(spark, sources, tmp_path, monkey
     assert {r.model for r in found.scores.collect()} == names == set(found.models)
     assert stage_exists(spark, str(tmp_path), "part", "pageranks")
     for name in names:
-        assert (tmp_path / "models" / f"part_{name.replace(' ', '_')}").exists()
+        assert (tmp_path / "models" / "part" / "from20150101_bucketed_train" / name.replace(" ", "_")).exists()
     for stage in plan.REDUCED:
-        assert set(spark.read.parquet(f"{tmp_path}/part/{stage}").columns) == {"reducedScaledFeatures", "label"}
+        assert set(read_stage(spark, str(tmp_path), "part/from20150101_bucketed_train", stage).columns) == {"reducedScaledFeatures", "label"}
