@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadtime.catalogue.registry import query, table
 from leadtime.functions.clock import day_of_year, epoch_of, hhmm_to_minutes, hour_bucket, epoch_seconds
 from leadtime.functions.keys import composite_key
 from leadtime.operators.cleaning import clean_packed, keep_equal, require, split_fields
-from leadtime.operators.columns import feature_columns, renamed, typed_select
+from leadtime.operators.columns import feature_columns, loss_table, observed_losses, renamed, typed_select
 from leadtime.operators.profile import null_profile
 from leadtime.operators.ranking import top
+from leadtime.session import query_root
+from leadtime.sources.stages import write_stage
 
 
 @query(
@@ -26,6 +28,36 @@ def typed_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_select(table(spark, sf_dir, "lineitem"), types)
 
 
+_LOSS_SQL = """
+WITH t AS (SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, l_returnflag, CAST(l_linenumber AS VARCHAR) || CASE WHEN l_linenumber = 3 THEN 'x' ELSE '' END AS l_linenumber,
+                  CAST(l_quantity AS DOUBLE) AS l_quantity, CASE WHEN l_linenumber = 2 THEN '2400' ELSE '0930' END AS hhmm FROM lineitem)
+SELECT 'l_partkey' AS "column", count(*) FILTER (TRY_CAST(l_partkey AS TINYINT) IS NULL) AS lost FROM t
+UNION ALL SELECT 'l_returnflag', count(*) FILTER (TRY_CAST(l_returnflag AS INTEGER) IS NULL) FROM t
+UNION ALL SELECT 'l_linenumber', count(*) FILTER (TRY_CAST(l_linenumber AS INTEGER) IS NULL) FROM t
+UNION ALL SELECT 'l_quantity', CAST(0 AS BIGINT)
+UNION ALL SELECT 'departure', count(*) FILTER (hhmm = '2400') FROM t"""
+
+
+@query(_LOSS_SQL)
+def cast_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values lost by casts and clock times that do not exist, by column, counted in the pass that writes the rows."""
+    lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_returnflag", "l_linenumber", "l_quantity")
+    number = F.concat(F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") == 3, "x").otherwise(""))
+    messy = lines.select(
+        F.col("l_partkey").cast("string").alias("l_partkey"),
+        "l_returnflag",
+        number.alias("l_linenumber"),
+        F.col("l_quantity").cast("double").alias("l_quantity"),
+        F.when(F.col("l_linenumber") == 2, "2400").otherwise("0930").alias("hhmm"),
+    )
+    typed, clocked = Observation(), Observation()
+    departure = epoch_of(F.lit("2015-03-04"), F.col("hhmm"))
+    seen = observed_losses(messy, {"departure": (F.col("hhmm"), departure)}, clocked)
+    types = {"l_partkey": "tinyint", "l_returnflag": "int", "l_linenumber": "int", "l_quantity": "float", "hhmm": "string"}
+    write_stage(typed_select(seen, types, typed), query_root(spark), "lines", "typed")
+    return loss_table(spark, typed).where("column <> 'hhmm'").union(loss_table(spark, clocked))
+
+
 def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars")
     return documents.join(table(spark, sf_dir, "labels"), "doc_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadtime.catalogue.registry import EVENTS_SQL, query, table, timed_events
 from leadtime.functions.clock import HOUR, epoch_seconds, local_epoch, shifted
 from leadtime.operators.asof import asof_bucketed, asof_exact
-from leadtime.operators.lookup import keep_known, keys_in_use, looked_up, station_zones, within_bounds
+from leadtime.operators.lookup import keep_known, keys_in_use, looked_up, spread_lookup, station_zones, within_bounds
 from leadtime.operators.ranking import first_per_group
 
 
@@ -184,3 +184,16 @@ def local_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = timed_events(spark, sf_dir).select("event_id", "user_id", "t")
     zone = F.get(zones, (F.col("user_id") % 3).cast("int"))
     return events.select("event_id", "t", local_epoch(F.timestamp_seconds("t"), zone).alias("local_t"))
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber, p_brand FROM lineitem
+LEFT JOIN part ON p_partkey = CASE WHEN l_linenumber <= 3 THEN 1 WHEN l_linenumber = 7 THEN NULL ELSE l_partkey END"""
+)
+def lookup_by_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of parts, where half of all lines name one part and some name none: the hot key's lines never move."""
+    part = F.when(F.col("l_linenumber") <= 3, F.lit(1)).when(F.col("l_linenumber") < 7, F.col("l_partkey"))
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").select("l_orderkey", "l_linenumber", part.alias("part"))
+    found = spread_lookup(lines, "part", table(spark, sf_dir, "part", "p_partkey", "p_brand"), "p_partkey", {"p_brand": "p_brand"})
+    return found.drop("part")

@@ -310,7 +310,7 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every feature counts in a forest of the default depth; they share one."""
     parts = line_parts(spark, sf_dir)
     with tree_parts(parts, LINE_COLUMNS) as (ready, _):
-        model = learn.forest("indexedFeatures", learn.max_bins(ready.train, "indexedFeatures")).fit(ready.train)
+        model = learn.fitted(learn.forest("indexedFeatures", learn.max_bins(ready.train, "indexedFeatures")), ready.train)
     table_ = learn.importances(spark, model.featureImportances.toArray(), ready.train, "indexedFeatures")
     whole = F.abs(table_.agg(F.sum("score")).scalar() - 1) < 1e-9
     return table_.select("idx", "name", _between("score").alias("bounded"), whole.alias("sum_is_one"))

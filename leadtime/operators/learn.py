@@ -113,6 +113,18 @@ def logistic_baseline(features: str, label: str = "label") -> LogisticRegression
     return LogisticRegression(featuresCol=features, labelCol=label, maxIter=10)
 
 
+def fitted(estimator: Estimator, train: DataFrame) -> Model:
+    """The fitted model without its training summary.
+
+    A summary refers to the session; once an ``Observation`` has been used in it (cleaning counts its losses that
+    way), a model that still has one can no longer be sent to the executors.
+    """
+    model = estimator.fit(train)
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return model
+
+
 # Grids tried on the validation part. The parameter choices.
 LOGISTIC_GRID = {"elasticNetParam": [0.0, 0.5, 1.0], "regParam": [0.01, 0.5, 1.0]}
 FOREST_GRID = {"maxDepth": [2, 3, 5]}
@@ -183,11 +195,11 @@ def holdout_grid(
     """
     combinations = combinations_of(grid)
 
-    def fitted(params: dict[str, Any]) -> Model:
-        return estimator.copy({estimator.getParam(k): v for k, v in params.items()}).fit(train)
+    def fit(params: dict[str, Any]) -> Model:
+        return fitted(estimator.copy({estimator.getParam(k): v for k, v in params.items()}), train)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(inheritable_thread_target(SparkSession.active())(fitted), combinations))
+        models = list(pool.map(inheritable_thread_target(SparkSession.active())(fit), combinations))
     worth = areas({str(i): m for i, m in enumerate(models)}, {"val": val}, label)
     return [Trial(params, model, *worth["val", str(i)]) for i, (params, model) in enumerate(zip(combinations, models))]
 

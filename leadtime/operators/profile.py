@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, MapType, StructType
 
 from leadtime.operators.running import running_totals
 
@@ -34,9 +35,36 @@ def extent(df: DataFrame, column: str, rows: str | None = None) -> DataFrame:
     return df.agg(*counted, F.min(column).alias("first"), F.max(column).alias("last"))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: exact number of distinct values of each column; nulls do not count."""
-    return df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+def _told_apart(df: DataFrame, column: str) -> Column:
+    """A value as text that is equal for equal values only."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, BinaryType):
+        return F.hex(column)
+    if isinstance(kind, (FloatType, DoubleType)):
+        # Minus zero equals zero.
+        return (F.col(column) + F.lit(0.0)).cast("string")
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.when(F.col(column).isNotNull(), F.to_json(F.struct(column)))
+    return F.col(column).cast("string")
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``at`` and ``value``: every distinct value of every column once, as text, by the column's place; nulls are none.
+
+    A task keeps one entry per column and value it meets, whatever the number of rows, and only those are moved.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("at"), _told_apart(df, c).alias("value")) for i, c in enumerate(columns)])
+    return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], buckets: int = 1024) -> DataFrame:
+    """One row: exact number of distinct values of each column; nulls do not count.
+
+    Values are counted by hash in ``buckets`` per column first, so a column's values are never one group of one task.
+    """
+    hashed = F.pmod(F.xxhash64("value"), F.lit(buckets))
+    parts = distinct_values(df, columns).groupBy("at", hashed.alias("bucket")).agg(F.count("*").alias("n"))
+    return parts.agg(*[F.coalesce(F.sum(F.when(F.col("at") == i, F.col("n"))), F.lit(0).cast("long")).alias(c) for i, c in enumerate(columns)])
 
 
 def min_max_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -65,27 +93,40 @@ def target_counts(df: DataFrame, category: str, target: str) -> DataFrame:
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """Equal-width bins between the smallest and largest value of each column, empty ones included.
 
-    The last bin is closed. A column with a single value gets a range of ±0.5 around it.
+    The last bin is closed. A column with a single value gets a range of ±0.5 around it. A column without values gives no rows.
+
+    One scan finds all ends. A second counts all bins of all columns, an array of counts per
+    column and task, which are summed: no row is multiplied, and what is moved is bins times columns.
     """
-    values = _stacked(df, columns)
-    ends = values.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    single = F.col("lo") == F.col("hi")
-    ends = ends.select(
-        "column",
-        F.when(single, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(single, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
-    # One row per column name: small by construction, and joined many to one.
-    bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    counts = values.join(F.broadcast(ends), "column").groupBy("column", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    numbers = df.select(*[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(columns)])
+    places = [f"__{i}" for i in range(len(columns))]
+
+    def ends_of(c: str) -> Column:
+        lo, hi = F.min(c), F.max(c)
+        half = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0))
+        return F.struct((lo - half).alias("lo"), (hi + half).alias("hi")).alias(c)
+
+    ends = numbers.agg(F.struct(*[ends_of(c) for c in places]).alias("ends"))
+    held = ends.scalar()
+
+    def counts_of(c: str) -> Column:
+        lo, hi = held[c]["lo"], held[c]["hi"]
+        bin_ = F.when(F.col(c).isNotNull(), F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)))
+        return F.array(*[F.count_if(bin_ == b) for b in range(bins)]).alias(c)
+
+    row = numbers.agg(*[counts_of(c) for c in places])
+    each = [
+        F.struct(F.lit(name).alias("column"), held[c]["lo"].alias("lo"), held[c]["hi"].alias("hi"), F.col(c).alias("counts"))
+        for name, c in zip(columns, places)
+    ]
+    listed = row.select(F.inline(F.array(*each))).where(F.col("lo").isNotNull())
     width = (F.col("hi") - F.col("lo")) / bins
-    grid = ends.select("column", "lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counts, ["column", "bin"], "left").select(
+    return listed.select("column", "lo", width.alias("w"), F.posexplode("counts").alias("bin", "n")).select(
         "column",
         F.col("bin").cast("int").alias("bin"),
         (F.col("lo") + F.col("bin") * F.col("w")).alias("lower"),
         (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("upper"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        "n",
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadtime.functions.clock import HOUR, day_of_year, epoch_of, epoch_seconds, hhmm_to_minutes, local_epoch, shifted
@@ -18,13 +18,13 @@ from leadtime.functions.keys import composite_key
 from leadtime.operators import learn, metrics
 from leadtime.operators.asof import asof_bucketed, asof_exact
 from leadtime.operators.cleaning import clean_packed, keep_equal, require
-from leadtime.operators.columns import feature_columns, typed_select
+from leadtime.operators.columns import feature_columns, loss_table, observed_losses, typed_select
 from leadtime.operators.graph import flow_edges, flow_vertices, pagerank
 from leadtime.operators.history import previous_outcome
 from leadtime.operators.levels import fold_rare_levels
 from leadtime.operators.lookup import keep_known, keys_in_use, looked_up, rank_features, station_zones, within_bounds
 from leadtime.plans.training import Columns, Exploration, Final, Parts, explore, parts_of, train_boosting
-from leadtime.sources.stages import restage, save_model, stage_once
+from leadtime.sources.stages import current_stage, restage, save_model, stage_once, write_stage
 
 # Names and types of the published flight and weather tables, the layout of packed
 # weather fields, their codes for "missing", the codes of erroneous readings, the report type.
@@ -118,9 +118,20 @@ FEATURES = Columns(
 FOLDED = {"OP_CARRIER_FL_NUM": "99999", "TAIL_NUM": "TAIL99"}
 
 
-def clean_flights(raw: DataFrame) -> DataFrame:
-    """Typed flights with a known delay and duration, minutes of the day and departure in epoch seconds."""
-    flights = require(typed_select(raw, FLIGHT_TYPES), ["DEP_DEL15", "DEP_DELAY", "CRS_ELAPSED_TIME"])
+def clean_flights(raw: DataFrame, losses: tuple[Observation, Observation] | None = None) -> DataFrame:
+    """Typed flights with a known delay and duration, minutes of the day and departure in epoch seconds.
+
+    ``losses`` count the values that casts and clock times turn into nulls: of the raw columns, and of what is derived.
+    """
+    flights = require(typed_select(raw, FLIGHT_TYPES, losses and losses[0]), ["DEP_DEL15", "DEP_DELAY", "CRS_ELAPSED_TIME"])
+    if losses:
+        departure = F.concat("FL_DATE", "CRS_DEP_TIME")
+        derived = {
+            "CRS_DEP_TIME_MINS": (F.col("CRS_DEP_TIME"), hhmm_to_minutes(F.col("CRS_DEP_TIME"))),
+            "CRS_ARR_TIME_MINS": (F.col("CRS_ARR_TIME"), hhmm_to_minutes(F.col("CRS_ARR_TIME"))),
+            "AIRLINE_TIMESTAMP": (departure, epoch_of(F.col("FL_DATE"), F.col("CRS_DEP_TIME"))),
+        }
+        flights = observed_losses(flights, derived, losses[1])
     return flights.withColumns(
         {
             "CRS_DEP_TIME_MINS": hhmm_to_minutes(F.col("CRS_DEP_TIME")),
@@ -256,7 +267,7 @@ def joined_flights(sources: Sources, *, flights: DataFrame | None = None, exact:
 
 
 # Names under which stages and models are kept.
-RANKS, CLEAN, ORIGINAL, PROPOSED = "pageranks", "flights", "original", "proposed_features"
+RANKS, CLEAN, LOST, ORIGINAL, PROPOSED = "pageranks", "flights", "lost_values", "original", "proposed_features"
 REDUCED = ["reduced_trainingData", "reduced_valData", "reduced_testData"]
 
 
@@ -299,14 +310,18 @@ def prepared(spark: SparkSession, sources: Sources, root: str, scope: str, *, ev
     """The feature stage of a scope; what is there already, made by the same parameters from unchanged inputs, is taken as it is.
 
     Ranks come from ``every_flight``, the flights of the full range, whatever the scope; without
-    them, from those of the scope, and are then kept with the scope. A source that is None is not asked
+    them, from those of the scope, and are then kept with the scope. Beside the clean flights lies how many values cleaning lost, by column. A source that is None is not asked
     whether it has changed. Joined flights and features are laid out by time, so that the parts' range filters skip files.
     """
     whole = every_flight is not None
     ranked = every_flight if whole else sources.flights
     ranks = stage_once(spark, root, "all" if whole else scope, RANKS, lambda: airport_ranks(ranked), inputs=[ranked])
     shape, parameters = shape_of(sources, exact=exact), {"min_date": sources.min_date, "exact": exact}
-    flights = stage_once(spark, root, scope, CLEAN, lambda: clean_flights(sources.flights), inputs=[sources.flights])
+    losses = (Observation(), Observation())
+    was = current_stage(spark, root, scope, CLEAN)
+    flights = stage_once(spark, root, scope, CLEAN, lambda: clean_flights(sources.flights, losses), inputs=[sources.flights])
+    if current_stage(spark, root, scope, CLEAN) != was:
+        write_stage(loss_table(spark, losses[0]).union(loss_table(spark, losses[1])), root, scope, LOST)
     joined = stage_once(
         spark, root, scope, f"{ORIGINAL}_{shape}", lambda: joined_flights(sources, flights=flights, exact=exact),
         parameters=parameters, inputs=[flights, sources.weather, sources.stations, sources.codes, sources.zones], cluster_by=FEATURES.time,

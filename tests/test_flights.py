@@ -129,6 +129,9 @@ def test_whole_flow(spark, sources, tmp_path, monkeypatch):
     nothing = plan.Sources(*[None] * 5, 20150101)
     again = plan.run(spark, nothing, root, "small", every_flight=sources.flights)
     assert again.final.trials[0].auroc == pytest.approx(final.trials[0].auroc)
+    # What cleaning lost: one flight has no delay, which it never had; no departure at 2400.
+    lost = {r.column: r.lost for r in read_stage(spark, root, "small", "lost_values").collect()}
+    assert set(lost) == {*plan.FLIGHT_TYPES, "CRS_DEP_TIME_MINS", "CRS_ARR_TIME_MINS", "AIRLINE_TIMESTAMP"} and not any(lost.values())
     # Another join is another run beside the first, whose outcome can still be read.
     other = plan.run(spark, sources, root, "small", every_flight=sources.flights, exact=True)
     assert stage_exists(spark, root, "small", "original_from20150101_exact")

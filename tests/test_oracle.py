@@ -4,9 +4,10 @@ import os
 
 import pytest
 from oracle import compare, database
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from leadtime.catalogue import ORACLE, QUERIES
+from leadtime.catalogue import ORACLE, QUERIES, learning
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -42,3 +43,11 @@ def test_known_counts(spark):
     assert flags == 1636
     parts = {r.part: r.n for r in queries["time_split_sizes"](spark, sf).collect()}
     assert parts == {"train": 6005, "val": 1988, "test": 2007}
+
+
+@pytest.mark.parametrize("name", ["models_by_level", "model_areas"])
+def test_models_of_a_wrong_label_are_found(spark, monkeypatch, name):
+    """The comparison of models would notice if they learnt from another column."""
+    sf, right = "/root/testdata/sf0.001", learning.line_features
+    monkeypatch.setattr(learning, "line_features", lambda *where: right(*where).withColumn("costly", (F.col("l_discount") > 0.04).cast("int")))
+    assert compare(contract.queries()[name](spark, sf), database(sf), contract.oracle_sql()[name]) != []
