@@ -22,8 +22,9 @@ SEED = 42
 CROWD = 24
 #: Texts of so few shingles, where majorities tie often, also share a block by any of their least shingles.
 SHORT = 25
-#: Texts of a candidate group that are compared by their shingles at a time.
+#: Texts of a candidate group that are compared by their shingles at a time, and their bytes.
 COMPARED = 256
+COMPARED_BYTES = 16 << 20
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -147,21 +148,21 @@ def differing_share(similarity: float) -> float:
 def wide_groups(
     docs: DataFrame, *, width: int = 5, similarity: float = 0.8, words: int = 4, recall: float = 0.99, seed: int = 5
 ) -> DataFrame:
-    """``doc_id``, ``similar_id``: for near copies by shingle ``similarity``, the smallest doc_id of the group.
+    """``doc_id``, ``text_hash``, ``similar_id``: for near copies by shingle ``similarity``, the smallest doc_id of the group.
 
     Two bits of 64 tell nearly equal texts; a similarity of 0.8 turns about one bit in seven, so here
     fingerprints have ``words`` times 64 bits. They only name candidates: pairs that share a block and
     differ in no more bits than 0.995 of the pairs at ``similarity`` do. No deal of so many turned
     bits over blocks leaves a long block whole for certain: blocks are sets of bits drawn at random,
     of a size at which about four unlike texts share one, and as many that a pair at ``similarity``
-    shares one with probability ``recall``. Texts of ``SHORT`` shingles at most also share a block by
-    any of their least hashed shingles, so many that a pair at ``similarity`` has one in common.
+    shares one with probability ``recall``. Texts of ``SHORT`` shingles at most, and those that can be similar to
+    one, also share a block by any of their least hashed shingles, so many that a pair at ``similarity`` has one in common.
     Blocks of more than ``CROWD`` are compared in pieces, each of which ties its texts to the least
-    one found. Within a group that candidates connect, every pair of shingle sets is then compared,
-    and only pairs at ``similarity`` or above (Jaccard, shingles by 64-bit hash) are linked.
+    one found, and pieces to each other by those. Within a group that candidates connect, shingle sets are
+    then compared (``near_links``), and only pairs at ``similarity`` or above (Jaccard, shingles by 64-bit hash) are linked.
 
-    Texts without a word link with nothing, and rows without a doc_id are left out. Rows that
-    repeat a doc_id count as one document.
+    A document is a doc_id with a text: rows that repeat both are one, other texts of a doc_id are documents of their
+    own. Texts without a word link with nothing, and rows without a doc_id are left out.
     """
     bits = BITS * words
     # Ties of few shingles turn more bits: at 0.8 under 0.7 of 100 more from 20 shingles on, up to a quarter more below.
@@ -178,7 +179,7 @@ def wide_groups(
                 if len(found):
                     # Equal sets share the second part of the print; few shingles may turn no bit of the first.
                     name = wide_fingerprint(found, words) + xxhash.xxh3_128_digest(found.tobytes())
-                    least = found[: len(found) - ceil(similarity * len(found) - 1e-9) + 1] if len(found) <= SHORT else found[:0]
+                    least = found[: len(found) - ceil(similarity * len(found) - 1e-9) + 1] if len(found) <= SHORT / similarity else found[:0]
                     rows.append((i, name, least.view(np.int64)))
             at, names_, least = zip(*rows) if rows else ((),) * 3
             at = pa.array(at, pa.int64())
@@ -189,8 +190,9 @@ def wide_groups(
 
     texts = known.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     prints = written(texts.mapInArrow(of, f"doc_id {kind}, text_hash long, fp binary, least array<bigint>"))
-    firsts = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("least").alias("least"))
-    fps = written(firsts.select("fp", F.col("first.doc_id").alias("node"), F.col("first.text_hash").alias("text_hash"), "least"))
+    named = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    fps = written(prints.groupBy("fp").agg(F.min(named).alias("node"), F.min("least").alias("least")).select("fp", "node", "least"))
+    node_kind = f"struct<id:{kind},hash:bigint>"
     block_bits = max(8, int(log2(max(fps.count(), 1))) - 1)
     together = (1 - share) ** block_bits
     blocks = ceil(log(1 - recall) / log(1 - together))
@@ -206,7 +208,7 @@ def wide_groups(
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, *parts], ["node", "keys", *names])
 
     names = [f"w{i}" for i in range(words)]
-    coded = fps.select("node", "fp", "least").mapInArrow(keys, f"node {kind}, keys array<bigint>, " + ", ".join(f"{n} long" for n in names))
+    coded = fps.select("node", "fp", "least").mapInArrow(keys, f"node {node_kind}, keys array<bigint>, " + ", ".join(f"{n} long" for n in names))
     # All least shingles of short texts are one choice, the last.
     placed = coded.select("node", *names, F.posexplode("keys").alias("choice", "block")).withColumn("choice", F.least("choice", F.lit(blocks)))
     shared = placed.groupBy("choice", "block").agg(F.count("*").alias("held")).where("held > 1")
@@ -221,42 +223,112 @@ def wide_groups(
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def tie(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("hash", "ascending")]).combine_chunks()
         own = table["own"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         prints = np.stack([table[n].to_numpy().view(np.uint64) for n in names], axis=1)
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         most = short_limit if table["choice"][0].as_py() == blocks else limit
-        a, b = np.nonzero(sum(np.bitwise_count(prints[left, i][:, None] ^ prints[right, i][None, :]).astype(np.int16) for i in range(words)) <= most)
-        a, b = left[a], right[b]
-        root = least_tied(len(own), a, b)
-        tied = np.flatnonzero(root != np.arange(len(own)))
-        nodes = table["node"].combine_chunks()
-        return pa.table({"a": nodes.take(pa.array(tied)), "b": nodes.take(pa.array(root[tied]))})
 
-    paired = in_blocks(many, ["choice", "block"], ["node"], 512)
-    ties = paired.groupBy("choice", "block", "low", "high").applyInArrow(tie, f"a {kind}, b {kind}")
+        def close(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = np.nonzero(sum(np.bitwise_count(prints[left, i][:, None] ^ prints[right, i][None, :]).astype(np.int16) for i in range(words)) <= most)
+            return left[a], right[b]
+
+        # Each block by itself; two blocks are then tied by the least texts of their parts alone.
+        root = np.arange(len(own))
+        for block in {low, high}:
+            inside = np.flatnonzero(own == block)
+            root = np.minimum(root, least_tied(len(own), *close(inside, inside)))
+        if low != high:
+            a, b = close(np.flatnonzero(own == low), np.flatnonzero(own == high))
+            tied_to = least_tied(len(own), root[a], root[b])
+            tied = np.flatnonzero(tied_to != np.arange(len(own)))
+            root = tied_to
+        else:
+            tied = np.flatnonzero(root != np.arange(len(own)))
+        ids, hashes = table["id"].combine_chunks(), table["hash"].combine_chunks()
+        sides = [pa.StructArray.from_arrays([ids.take(pa.array(at)), hashes.take(pa.array(at))], ["id", "hash"]) for at in (tied, root[tied])]
+        return pa.table(dict(zip("ab", sides)))
+
+    paired = in_blocks(many, ["choice", "block"], ["node"], 512).select("choice", "block", "low", "high", "own", "node.id", "node.hash", *names)
+    ties = paired.groupBy("choice", "block", "low", "high").applyInArrow(tie, f"a {node_kind}, b {node_kind}")
     near = connected_components(written(pairs.union(ties).distinct()))
+    told = texts.join(near.select("node.id", "node.hash", "root"), (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    told = told.dropDuplicates(["id", "hash"]).select(F.struct("id", "hash").alias("node"), "root", "text")
+    links = near_links(written(told), width=width, similarity=similarity)
+    equal = prints.select(named.alias("a"), "fp").join(fps.select("fp", F.col("node").alias("b")), "fp").where("a <> b").select("a", "b").distinct()
+    grouped = connected_components(links.union(equal))
+    return grouped.select(F.col("node.id").alias("doc_id"), F.col("node.hash").alias("text_hash"), F.col("root.id").alias("similar_id"), F.col("root.hash").alias("similar_hash"))
+
+
+def near_links(told: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) that connect all texts of a candidate group whose shingle sets are at ``similarity``, and no others.
+
+    ``told`` has ``node``, the group's ``root`` and ``text``. A group is cut into blocks of ``COMPARED`` texts
+    or ``COMPARED_BYTES``. Within a block all pairs are compared, which settles every group of one block and leaves each part of
+    a larger one with a representative. Representatives are compared next; in a large group of near copies that
+    joins everything, so its texts are moved once and its links are fewer than its texts. Only if parts of a group
+    are still apart, their texts are compared across blocks: all but those of one large part with each other.
+    """
+    node_kind = told.schema["node"].dataType.simpleString()
+    size = F.greatest(F.ceil(F.count("*") / F.lit(COMPARED)), F.ceil(F.sum(F.octet_length("text")) / F.lit(COMPARED_BYTES))).cast("int")
 
-    def verify(table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy()
-        left, right = (np.flatnonzero(own == table[side][0].as_py()) for side in ("low", "high"))
+    def compared(table: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sets = [shingle_set(text.as_py(), width) for text in table["text"]]
         common = common_shingles(sets, left, right)
         sizes = np.array(list(map(len, sets)))
         a, b = np.nonzero(common / (sizes[left][:, None] + sizes[right][None, :] - common) >= similarity)
-        root = least_tied(len(own), left[a], right[b])
-        tied = np.flatnonzero(root != np.arange(len(own)))
+        return left[a], right[b]
+
+    def inside(table: pa.Table) -> pa.Table:
+        every = np.arange(table.num_rows)
+        first = least_tied(len(every), *compared(table, every, every))
         nodes = table["node"].combine_chunks()
-        return pa.table({"a": nodes.take(pa.array(tied)), "b": nodes.take(pa.array(root[tied]))})
+        return pa.table({"root": table["root"], "blocks": table["blocks"], "node": nodes, "first": nodes.take(pa.array(first))})
+
+    held = told.groupBy("root").agg(size.alias("blocks"), F.count("*").alias("held")).where("held > 1").drop("held")
+    cut = told.join(held, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    kinds = f"root {node_kind}, blocks int, node {node_kind}, first {node_kind}"
+    parts = written(cut.groupBy("root", "own").applyInArrow(inside, kinds))
+    links = parts.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    large = parts.where("blocks > 1")
 
-    candidates = fps.select("node", F.col("text_hash").alias("hash")).join(near, "node").distinct()
-    told = texts.join(candidates, (F.col("doc_id") == F.col("node")) & (F.col("text_hash") == F.col("hash")))
-    told = written(told.dropDuplicates(["doc_id", "text_hash"]).select("node", "root", "hash", "text"))
-    close = in_blocks(told, ["root"], ["node", "hash"], COMPARED).groupBy("root", "low", "high").applyInArrow(verify, f"a {kind}, b {kind}")
-    same = prints.join(fps.select("fp", "node"), "fp").select("doc_id", "node").distinct()
-    equal = same.where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = written(close.distinct()).union(equal)
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("similar_id"))
+    def across(table: pa.Table) -> pa.Table:
+        own, part = table["own"].to_numpy(), table["part"].combine_chunks()
+        left, right = (np.flatnonzero(own == table[side][0].as_py()) for side in ("low", "high"))
+        a, b = compared(table, left, right)
+        _, number = np.unique(np.array([str(p) for p in part.to_pylist()]), return_inverse=True)
+        some = np.zeros(number.max() + 1, np.int64)
+        some[number] = np.arange(len(number))
+        apart = number[a] != number[b]
+        least = least_tied(len(some), number[a[apart]], number[b[apart]])
+        tied = np.flatnonzero(least != np.arange(len(some)))
+        return pa.table({"a": part.take(pa.array(some[tied])), "b": part.take(pa.array(some[least[tied]]))})
+
+    both = f"a {node_kind}, b {node_kind}"
+    firsts = large.select("root", F.col("first").alias("node")).distinct().join(told.select("node", "text"), "node")
+    firsts = in_blocks(firsts.withColumn("part", F.col("node")), ["root"], ["node"], COMPARED)
+    met = written(firsts.groupBy("root", "low", "high").applyInArrow(across, both))
+    joined = connected_components(met)
+    part = F.coalesce("joined", "first")
+    labelled = large.join(joined.select(F.col("node").alias("first"), F.col("root").alias("joined")), "first", "left").select("root", "node", part.alias("part"))
+    labelled = written(labelled)
+    split = labelled.groupBy("root").agg((F.min("part") < F.max("part")).alias("split")).where("split").select("root")
+    open_ = labelled.join(split, "root").join(told.select("node", "text"), "node")
+    # Blocks of one large part are not compared with each other; small parts share blocks.
+    weight = open_.groupBy("root", "part").agg(size.alias("slices"))
+    mixed = open_.join(weight.where("slices = 1"), ["root", "part"]).groupBy("root").agg(size.alias("shared"))
+    placed = open_.join(weight, ["root", "part"]).join(mixed, "root", "left")
+    alone = F.col("slices") > 1
+    own = F.when(alone, F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("slices")))).otherwise(F.pmod(F.xxhash64("node"), F.col("shared")))
+    placed = placed.select("root", "node", "part", "text", own.alias("own"), F.when(alone, F.col("part")).alias("only"))
+    blocks = placed.select("root", "own", "only").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    unlike = ~F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
+    facing = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.own") <= F.col("y.own")) & unlike)
+    facing = facing.select("x.root", F.col("x.own").alias("low"), F.col("y.own").alias("high"))
+    sides = facing.withColumn("own", F.explode(F.array_distinct(F.array("low", "high"))))
+    crossed = sides.join(placed.drop("only"), ["root", "own"]).groupBy("root", "low", "high").applyInArrow(across, both)
+    return written(links.union(met).union(crossed).distinct())
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -312,13 +384,15 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
 def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` left when one document of each group of near copies (``wide_groups``) stays: the smallest doc_id.
 
-    Where rows repeat that doc_id, the one with the smallest other columns stays. Rows without a
-    doc_id cannot be named by a group and all stay, and so do texts without words.
+    Of rows that repeat doc_id and text, the one with the smallest other columns stays; rows of one doc_id with unlike texts
+    all stay. Rows without a doc_id cannot be named by a group and all stay, and so do texts without words.
     """
-    gone = wide_groups(docs, width=width, similarity=similarity).where("doc_id != similar_id").select(F.col("doc_id").alias("__gone"))
+    grouped = wide_groups(docs, width=width, similarity=similarity)
+    gone = grouped.where("doc_id <> similar_id or text_hash <> similar_hash").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text"))
+    hashed = docs.where(F.col("doc_id").isNotNull()).withColumn("__hash", F.xxhash64("text"))
+    kept = hashed.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.col("__hash") == F.col("__text")), "left_anti")
     others = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row"))
+    kept = kept.groupBy("doc_id", "__hash").agg(F.min(F.struct(*others)).alias("__row"))
     return kept.select(*["doc_id" if c == "doc_id" else F.col("__row").getField(c).alias(c) for c in docs.columns]).union(
         docs.where(F.col("doc_id").isNull())
     )
