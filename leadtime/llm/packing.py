@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
@@ -14,10 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import number_rows, text_pieces, written
+from leadtime.llm.common import BLANKS, number_rows, text_pieces, written
 
-#: Words whose ids a Python worker remembers; a full memory is emptied.
-REMEMBERED = 400_000
+#: Words, and letters or marks of words, whose ids a Python worker remembers; a full memory is emptied.
+REMEMBERED = 600_000
+REMEMBERED_PARTS = 300_000
+#: Bytes of text that are tokenized together.
+AT_ONCE = 4 << 20
+
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS)] = True
 
 
 class WordIds:
@@ -25,7 +32,8 @@ class WordIds:
 
     The tokenizer drops blanks and works on each word by itself, so ids of a text are those of its
     words in turn. Plain lower-case Latin words with trailing marks go straight to the tokenizer's
-    model; everything else passes through all of the tokenizer.
+    model, letters and marks apart, so a word before a full stop costs no second tokenization; everything else passes
+    through all of the tokenizer.
     """
 
     PLAIN = re.compile("([a-zß-öø-ÿ]+)?([!-&(-/:;=-@\\[-`{-~]*)")
@@ -35,49 +43,119 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         # Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
-    def _ids(self, word: bytes) -> list[int]:
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= REMEMBERED_PARTS:
+                self.parts.clear()
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+            ids = self.parts[part] = self._packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        plain = self.PLAIN.fullmatch(text.lower())
+        plain = self.PLAIN.fullmatch(text if text.isascii() else text.lower())
         if plain is None:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        tokens = []
-        for part in plain.groups(""):
-            if part:
-                letters = part if part.isascii() else "".join(self.alphabet[b] for b in part.encode())
-                tokens += self.tokenizer.model.tokenize(letters)
-        return [t.id for t in tokens]
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        letters, marks = plain.groups("")
+        return (self._part(letters) if letters else b"") + (self._part(marks) if marks else b"")
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        ids = self.known[word] = np.array(self._ids(word), "<u4").tobytes()
+        ids = self.known[word] = self._ids(word)
         return ids
 
-    def of(self, words: Sequence[bytes]) -> bytes:
-        known, missing = self.known.get, self.__missing__
-        return b"".join([known(w) or missing(w) for w in words])
+    def of(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Ids of each of some texts, together.
+
+        Words are found and told apart in bulk, so that each distinct one is looked up once. The tokenizer
+        ignores case; A-Z are lowered at once so that fewer words differ.
+        """
+        data = np.frombuffer((b" " + b" ".join(texts) + b" ").lower(), np.uint8)
+        blank = _BLANK[data]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edges[0::2], edges[1::2]
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~blank])]).dictionary_encode()
+        missing = self.__missing__
+        known = [missing(w) if ids is None else ids for w, ids in ((w, self.known.get(w)) for w in words.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        tokens, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        code = words.indices.to_numpy()
+        counts = sizes[code]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        found = tokens[np.arange(after[-1]) + np.repeat(first[code] - after[:-1], counts)]
+        # A text begins after the blank that ends the one before.
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        cuts = after[np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))]
+        return [found[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 _LOADED: dict[str, WordIds] = {}
 
 
-def _cut(text: bytes | None, ids: WordIds, capacity: int, end_id: int) -> Iterator[tuple[int, int, int]]:
-    """Start, length and checksum of each piece of a text's ids and the end id."""
-    size, start, rest = 4 * capacity, 0, b""
-    for piece in text_pieces(text or b""):
-        rest += ids.of(piece.split())
-        while len(rest) > size:
-            yield start, capacity, zlib.crc32(rest[:size])
-            start, rest = start + capacity, rest[size:]
-    rest += np.array([end_id], "<u4").tobytes()
-    for at in range(0, len(rest), size):
-        part = rest[at : at + size]
-        yield start + at // 4, len(part) // 4, zlib.crc32(part)
+class _Cutter:
+    """Start, length and checksum of each piece of one text's ids and the end id, from its ids in runs."""
+
+    def __init__(self, capacity: int, end_id: int):
+        self.capacity, self.end = capacity, np.array([end_id], "<u4").tobytes()
+        self.start, self.rest = 0, b""
+
+    def add(self, run: bytes) -> list[tuple[int, int, int]]:
+        """The pieces that are full and not the last."""
+        data, size, at, found = self.rest + run, 4 * self.capacity, 0, []
+        while len(data) - at > size:
+            found.append((self.start, self.capacity, zlib.crc32(data[at : at + size])))
+            self.start, at = self.start + self.capacity, at + size
+        self.rest = data[at:]
+        return found
+
+    def finish(self) -> list[tuple[int, int, int]]:
+        found = self.add(self.end)
+        return [*found, (self.start, len(self.rest) // 4, zlib.crc32(self.rest))]
+
+
+def _pieces(texts: Sequence[bytes], ids: WordIds, capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Row, number, start, length and checksum of every piece; texts, or parts of long ones, are tokenized some at a time."""
+    cutter, number, row = _Cutter(capacity, end_id), 0, 0
+
+    def run_of(some: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+        nonlocal cutter, number, row
+        for at, run in zip((r for r, _ in some), ids.of([part for _, part in some])):
+            while row < at:
+                for cut in cutter.finish():
+                    yield row, number, *cut
+                    number += 1
+                cutter, number, row = _Cutter(capacity, end_id), 0, row + 1
+            for cut in cutter.add(run):
+                yield row, number, *cut
+                number += 1
+
+    held, size = [], 0
+    for at, text in enumerate(texts):
+        for part in text_pieces(text):
+            held.append((at, part))
+            size += len(part)
+            if size >= AT_ONCE:
+                yield from run_of(held)
+                held, size = [], 0
+    if held:
+        yield from run_of(held)
+    if texts:
+        for cut in cutter.finish():
+            yield row, number, *cut
+            number += 1
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -90,7 +168,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_i
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:
-            rows = [(i, n, *cut) for i, text in enumerate(batch.column(1)) for n, cut in enumerate(_cut(text.as_py(), ids, capacity, end_id))]
+            rows = list(_pieces([text.as_py() or b"" for text in batch.column(1)], ids, capacity, end_id))
             of_row, piece, start, length, crc = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [

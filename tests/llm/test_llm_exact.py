@@ -191,8 +191,8 @@ def test_words_to_ids_as_the_tokenizer_does():
     words = "Hello, WORLD's don't ### naïve Über-straße x<|endoftext|>y 12ab é ΣΑΣ İstanbul 東京  z ½ ﬁ á ---' <| |> ª".split(" ")
     ids = packing.WordIds(tokenizer_path())
     for w in words:
-        assert np.frombuffer(ids.of([w.encode()]), "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
-    assert np.frombuffer(ids.of([w.encode() for w in words]), "<u4").tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        assert np.frombuffer(ids.of([w.encode()])[0], "<u4").tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
+    assert np.frombuffer(ids.of([" ".join(words).encode()])[0], "<u4").tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
 
 
 def test_packing_plan_close_to_the_least():
