@@ -7,7 +7,8 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 #: Distinct words that a task holds before it turns them into counts, or a worker remembers scores of.
 REMEMBERED = 400_000
-#: Longest stretch of a text that is split into words at once.
+#: Characters of a text that are split into words, scored and traced at once; words are never cut.
 STRETCH = 1 << 20
 
 # First code point of ranges of letters and the script they belong to.
@@ -59,18 +60,28 @@ def script(word: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(word[0])) - 1][1]
 
 
-def words_of(text: str) -> Iterator[list[str]]:
-    """Runs of letters, lower case; a very long text comes in stretches, cut between letters if need be."""
-    start = 0
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where to cut a text into stretches of about ``STRETCH`` characters: after blanks or full stops, never inside a word."""
+    cuts, start = [], 0
     while start < len(text):
         end = start + STRETCH
         if end < len(text):
-            back = end
-            while back > start + STRETCH // 2 and text[back].isalpha():
-                back -= 1
-            end = back
-        yield LETTERS.findall(text[start:end].lower())
+            back = max((text.rfind(c, start, end) for c in _BREAKS), default=-1)
+            ahead = [i for i in (text.find(c, end) for c in _BREAKS) if i >= 0] if back < 0 else []
+            end = back + 1 if back >= 0 else min(ahead) + 1 if ahead else len(text)
+        cuts.append((start, min(end, len(text))))
         start = end
+    return cuts
+
+
+#: After these a text can be cut without a change of its words or of their lower case.
+_BREAKS = " \n\t\u3000\u3002"
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """Runs of letters, lower case, whole; a very long text comes in stretches."""
+    for start, end in stretches(text):
+        yield LETTERS.findall(text[start:end].lower())
 
 
 def features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,37 +210,71 @@ _SCORED: dict[str, ScoredWords] = {}
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language of each word when a change of language costs ``penalty``.
+    """Best language of each word when a change of language costs ``penalty``."""
+    return next(path for _, path in traced(1, lambda _: scores, penalty))
 
-    If no stretch of words gains more than one change by leaving the best language overall, that
+
+def _forward(rows: list[list[float]], state: list[float] | None, penalty: float, back: list | None = None) -> list[float]:
+    """The best sum that ends in each language after ``rows``, going on from ``state``; ``back`` gets an entry per row."""
+    for row in rows:
+        if state is None:
+            state, entry = row, None
+        else:
+            least, entry = max(state) - penalty, None
+            if min(state) < least:
+                # Languages that are reached better by a change come from the best one.
+                entry = (state.index(max(state)), [s < least for s in state])
+                state = [max(s, least) + x for s, x in zip(state, row)]
+            else:
+                state = [s + x for s, x in zip(state, row)]
+        if back is not None:
+            back.append(entry)
+    return state
+
+
+def traced(count: int, scores_of: Callable[[int], np.ndarray], penalty: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The best path over ``count`` stretches of one text, stretch by stretch from the last to the first.
+
+    It is the path over the whole text: sums are carried from stretch to stretch going forward, and what each one
+    began with is kept; going backward each stretch is traced anew from that, so only one is held at a time.
+    If no run of words gains more than one change by leaving the best language overall, that
     one holds throughout; only other texts are traced word by word.
     """
-    scores = np.maximum(scores, -1e6)
-    n, languages = scores.shape
-    best = int(scores.sum(0, dtype=np.float64).argmax())
-    if languages == 1:
-        return np.zeros(n, np.int64)
-    gains = np.delete(scores, best, axis=1).max(1).astype(np.float64) - scores[:, best]
-    sums = np.concatenate([[0.0], gains.cumsum()])
-    if (sums - np.minimum.accumulate(sums)).max() <= penalty:
-        return np.full(n, best)
-    rows = scores.tolist()
-    state, back = rows[0], [None] * n
-    for i in range(1, n):
-        least = max(state) - penalty
-        if min(state) < least:
-            # Languages that are reached better by a change come from the best one.
-            back[i] = (state.index(max(state)), [s < least for s in state])
-            state = [max(s, least) + x for s, x in zip(state, rows[i])]
-        else:
-            state = [s + x for s, x in zip(state, rows[i])]
-    path = np.empty(n, np.int64)
-    now = path[-1] = state.index(max(state))
-    for i in range(n - 1, 0, -1):
-        if back[i] is not None and back[i][1][now]:
-            now = back[i][0]
-        path[i - 1] = now
-    return path
+    only = np.maximum(scores_of(0), -1e6) if count == 1 else None
+
+    def scores(i: int) -> np.ndarray:
+        return only if only is not None else np.maximum(scores_of(i), -1e6)
+
+    best = int(sum(scores(i).sum(0, dtype=np.float64) for i in range(count)).argmax())
+    run = least = most = 0.0
+    sizes = []
+    for i in range(count):
+        own = scores(i)
+        sizes.append(len(own))
+        if own.shape[1] > 1 and len(own):
+            gains = np.delete(own, best, axis=1).max(1).astype(np.float64) - own[:, best]
+            sums = np.concatenate([[run], run + gains.cumsum()])
+            lows = np.minimum(np.minimum.accumulate(sums), least)
+            most, run, least = max(most, float((sums - lows).max())), float(sums[-1]), float(lows[-1])
+    if most <= penalty:
+        yield from ((i, np.full(sizes[i], best)) for i in reversed(range(count)))
+        return
+    begun, state = [], None
+    for i in range(count - 1):
+        begun.append(state)
+        state = _forward(scores(i).tolist(), state, penalty)
+    begun.append(state)
+    now = None
+    for i in reversed(range(count)):
+        back: list = []
+        ended = _forward(scores(i).tolist(), begun[i], penalty, back)
+        now = ended.index(max(ended)) if now is None else now
+        path = np.empty(len(back), np.int64)
+        for at in range(len(back) - 1, -1, -1):
+            path[at] = now
+            if back[at] is not None and back[at][1][now]:
+                now = back[at][0]
+        yield i, path
 
 
 def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float = 12.0) -> DataFrame:
@@ -239,7 +284,7 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float =
     language. ``spans`` are the stretches of one language, with number of words. ``lang_pred`` is the
     language of most letters, the first by name if two are equal; ``score`` its share of them. Null
     texts, texts without a letter, and all texts where there is nothing to learn from, are ``und``
-    with score 0 and no span. Repeated rows give repeated results; other columns are ignored.
+    with score 0 and no span. Very long texts are worked on in stretches, with the result of the whole (``traced``). Repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     model = LanguageModel([tuple(r) for r in language_counts(training).collect()])
@@ -250,16 +295,27 @@ def identify_languages(docs: DataFrame, training: DataFrame, *, penalty: float =
         if not text or not languages:
             return "und", 0.0, []
         letters, spans = np.zeros(len(languages), np.int64), []
-        for words in words_of(text):
-            if not words:
-                continue
-            path = viterbi(scored.of(words), penalty)
-            letters += np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(letters)).astype(np.int64)
-            ends = np.flatnonzero(np.diff(path, append=-1)) + 1
-            spans += [{"lang": languages[path[e - 1]], "words": int(e - s)} for s, e in zip([0, *ends[:-1]], ends)]
-        if not letters.any():
+        cuts = stretches(text)
+
+        @lru_cache(1)
+        def words(i: int) -> list[str]:
+            return LETTERS.findall(text[slice(*cuts[i])].lower())
+
+        held = [i for i in range(len(cuts)) if words(i)]
+        if not held:
             return "und", 0.0, []
-        return languages[letters.argmax()], float(letters.max() / letters.sum()), spans
+        for i, path in traced(len(held), lambda n: scored.of(words(held[n])), penalty):
+            own = words(held[i])
+            letters += np.bincount(path, np.fromiter(map(len, own), np.int64, len(own)), len(letters)).astype(np.int64)
+            ends = np.flatnonzero(np.diff(path, append=-1)) + 1
+            # Spans are gathered from the last to the first; one may go on over a cut.
+            for s, e in reversed(list(zip([0, *ends[:-1]], ends))):
+                lang = languages[path[e - 1]]
+                if e == len(path) and spans and spans[-1]["lang"] == lang:
+                    spans[-1]["words"] += int(e - s)
+                else:
+                    spans.append({"lang": lang, "words": int(e - s)})
+        return languages[letters.argmax()], float(letters.max() / letters.sum()), spans[::-1]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _SCORED:

@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from leadtime.llm import scoring
+from leadtime.llm import language, scoring, simhash
 from leadtime.llm.language import identify_languages, words_of
 from leadtime.llm.quality_rules import clean, quality_rules
-from leadtime.llm.simhash import wide_groups
+from leadtime.llm.simhash import keep_one, wide_groups
 
 
 def test_every_training_text_is_learnt_from_once(spark):
@@ -78,3 +80,83 @@ def test_short_foreign_spans_are_found(spark):
     spans = {r.doc_id: r.spans for r in found}
     told = sum(any(s.lang == other for s in spans[i]) for i, other in own) / len(own)
     assert len(own) > 100 and told >= 0.98
+
+
+def test_stretches_change_nothing(monkeypatch):
+    """A text above two megacharacters, and many with short stretches, give the path of the whole text."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, langs = int(rng.integers(1, 60)), int(rng.integers(1, 5))
+        scores = np.where(rng.random((n, langs)) < 0.1, -np.inf, -rng.exponential(6, (n, langs)).astype(np.float32).round(1))
+        whole = language.viterbi(scores, 12.0)
+        cuts = np.unique([0, *rng.integers(0, n, 4), n])
+        parts = [scores[a:b] for a, b in zip(cuts, cuts[1:])]
+        found = dict(language.traced(len(parts), parts.__getitem__, 12.0))
+        assert (np.concatenate([found[i] for i in range(len(parts))]) == whole).all()
+    words = ["".join(rng.choice(list("abcdefg"), int(rng.integers(1, 9)))) for _ in range(400_000)]
+    text = " ".join(words) + " " + "x" * 3000
+    assert len(text) > 1 << 21
+    whole = [w for some in language.words_of(text) for w in some]
+    assert whole == [*words, "x" * 3000]
+    for stretch in (50, 1000):
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        assert [w for some in language.words_of(text[:100_000] + "x" * 5000 + " end") for w in some] == language.LETTERS.findall(text[:100_000] + "x" * 5000 + " end")
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    """Documents are told by id and text: only the near copy goes, whatever shares its id."""
+    rng = random.Random(8)
+    one, other = ([f"w{rng.random()}" for _ in range(60)] for _ in range(2))
+    rows = [(1, " ".join(one), "b"), (1, " ".join(one), "a"), (1, " ".join(other), "c"), (2, " ".join([*one[:-1], "changed"]), "d"), (2, "quite another text of its own", "e"), (2, None, "f")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, more string")).collect()
+    assert sorted((r.doc_id, r.more) for r in kept) == [(1, "a"), (1, "c"), (2, "e"), (2, "f")]
+
+
+def test_links_of_a_group_are_fewer_than_its_texts(spark, monkeypatch):
+    told = []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda rows, **how: told.append(real(rows, **how)) or told[-1])
+    base = [f"w{i}" for i in range(200)]
+    for n in (300, 900):
+        rows = [(i, " ".join([*base[: i % 200], f"x{i}", *base[i % 200 + 1 :]])) for i in range(n)]
+        found = wide_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(found) == n and {r.similar_id for r in found} == {0}
+        assert told[-1].count() <= n + 10
+
+
+@pytest.mark.parametrize("compared", [4, 16, 256])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, compared):
+    """Groups cut into blocks, with parts that are similar across blocks only, are tied as by comparing all pairs."""
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng, rows = random.Random(12), []
+    for group in range(3):
+        line = [f"g{group}w{i}" for i in range(400)]
+        # Windows over one long line: near ones are similar, far ones are not; a few unlike texts are candidates too.
+        rows += [(group, len(rows) + i, " ".join(line[at : at + 100])) for i, at in enumerate(rng.sample(range(300), 40))]
+        rows += [(group, len(rows) + i, " ".join(f"{rng.random()}" for _ in range(30))) for i in range(5)]
+    node = F.struct(F.col("id"), F.lit(0).cast("long").alias("hash"))
+    df = spark.createDataFrame(rows, "grp long, id long, text string").select(node.alias("node"), F.struct(F.col("grp").alias("id"), F.lit(0).cast("long").alias("hash")).alias("root"), F.col("text").cast("binary").alias("text"))
+    links = [(r.a.id, r.b.id) for r in simhash.near_links(df, width=5, similarity=0.8).collect()]
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for _, i, t in rows}
+    near = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+    def components(pairs):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert near and components(links) == components(near)
+
+
+def test_pairs_about_the_border_of_short_texts_are_found(spark):
+    """Texts of 24 to 31 shingles against copies with one word less or more: the last are at 0.8 and above."""
+    rng, rows = random.Random(31), []
+    for size in range(24, 32):
+        for _ in range(40):
+            words = [f"w{rng.random()}" for _ in range(size + 4)]
+            more = [*words, *[f"v{rng.random()}" for _ in range(rng.randint(1, int(size / 4)))]]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(more))]
+    found = {r.doc_id: r.similar_id for r in wide_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found.get(i + 1) == i for i in range(0, len(rows), 2)) >= 0.98 * len(rows) / 2
