@@ -325,21 +325,31 @@ ONE_TREE = {"maxDepth": [1], "numTrees": [1], "bootstrap": [False], "featureSubs
 ONE_ROUND = {"maxDepth": [1], "maxIter": [1]}
 
 
-def closed_models(spark: SparkSession, parts: Parts) -> tuple[DataFrame, DataFrame]:
-    """Scores of the three models by level on the test part, and their areas."""
+def closed_models(spark: SparkSession, parts: Parts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of the three models by level on the test part, their areas, and what each category counts in the trees.
+
+    The boosted tree scores as a pipeline over raw columns that went through storage.
+    """
+    root, carried = query_root(spark), ["line", "band", "l_linestatus"]
     with linear_parts(parts, CLOSED_LINEAR) as (ready, _):
         trial = learn.best(learn.holdout_grid(learn.logistic("scaledFeatures"), {"regParam": [0.0]}, ready.train, ready.val))
         linear = learn.model_scores(spark, {"logistic": trial.model}, ready.train, ready.test)
         share = vector_to_array("probability")[1].alias("score")
-        by_line = restage(trial.model.transform(ready.test).select(F.lit("logistic").alias("model"), "line", "band", "l_linestatus", share), query_root(spark), "closed", "logistic")
-    with tree_parts(parts, CLOSED_TREES, keep=("line", "band", "l_linestatus")) as (ready, _):
+        by_line = restage(trial.model.transform(ready.test).select(F.lit("logistic").alias("model"), *carried, share), root, "closed", "logistic")
+    with tree_parts(parts, CLOSED_TREES, keep=carried) as (ready, indexing):
         bins = learn.max_bins(ready.train, "indexedFeatures")
         estimators = {"forest": (learn.forest("indexedFeatures", bins), ONE_TREE), "boosting": (learn.boosting("indexedFeatures", bins), ONE_ROUND)}
         models = {name: learn.best(learn.holdout_grid(*how, ready.train, ready.val)).model for name, how in estimators.items()}
         trees = learn.model_scores(spark, models, ready.train, ready.test)
-        by_tree = restage(learn.scored_by_all(models, ready.test, carried=("line", "band", "l_linestatus")), query_root(spark), "closed", "trees")
-    levels = by_line.union(by_tree.select("model", "line", "band", "l_linestatus", "score"))
-    return levels, linear.union(trees)
+        by_tree = restage(learn.scored_by_all({"forest": models["forest"]}, ready.test, carried=carried), root, "closed", "forest")
+        weights = [
+            learn.importances(spark, m.featureImportances.toArray(), ready.train, "indexedFeatures").select(F.lit(name).alias("model"), "name", "score")
+            for name, m in models.items()
+        ]
+    save_model(PipelineModel(stages=[*indexing.stages, models["boosting"]]), root, "boosting")
+    loaded = metrics.scored(load_model(PipelineModel, root, "boosting").transform(parts.test)).select(F.lit("boosting").alias("model"), *carried, "score")
+    levels = by_line.union(by_tree.select("model", *carried, "score")).union(loaded)
+    return levels, linear.union(trees), weights[0].union(weights[1])
 
 
 _CLOSED_SQL = f"""
@@ -367,7 +377,7 @@ SELECT model, line, band, l_linestatus, round(score, 3) + 0 AS score, count(*) A
 )
 def models_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a saturated logistic regression, one tree and one round of boosting say of each level, as their formulas do."""
-    levels, _ = closed_models(spark, line_parts(spark, sf_dir))
+    levels, _, _ = closed_models(spark, line_parts(spark, sf_dir))
     return levels.groupBy("model", "line", "band", "l_linestatus", (F.round("score", 3) + 0).alias("score")).agg(F.count("*").alias("n"))
 
 
@@ -384,11 +394,22 @@ FROM area a JOIN area b ON a.model = b.model AND a.part = 'train' AND b.part = '
 )
 def model_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score table of the same three models."""
-    _, areas = closed_models(spark, line_parts(spark, sf_dir))
+    _, areas, _ = closed_models(spark, line_parts(spark, sf_dir))
     names = ["train_auroc", "train_aupr", "test_auroc", "test_aupr"]
     return areas.select("model", *[F.round(c, 6).alias(c) for c in names])
 
 
+@query(
+    f"""{_CLOSED_SQL}
+SELECT model, name, CAST(name = CASE WHEN col = 'band' THEN 'band_idx' ELSE 'l_linestatus_idx' END AS DOUBLE) AS score
+FROM (SELECT DISTINCT col FROM side), (VALUES ('forest'), ('boosting')) m(model), (VALUES ('band_idx'), ('l_linestatus_idx')) c(name)"""
+)
+def stump_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category that makes the best split counts for all, the other for nothing."""
+    _, _, weights = closed_models(spark, line_parts(spark, sf_dir))
+    return weights
+
+
 # Events as departures, views as readings: the whole way from as-of join to balanced training rows.
 EVENT_COLUMNS = Columns(
     categoricals=["user_folded", "prev_outcome"],
