@@ -210,6 +210,7 @@ def rank_documents(documents: DataFrame, items: DataFrame, *, k: int = 10) -> Da
     A null or empty text has no terms: as a document it does not count, as an item it finds
     nothing. Equal items count once; different texts of one item_id are one item with the terms of
     all. Rows that share a doc_id are documents of their own. Other columns are ignored.
+    Workers that lack this package need ``common.ship`` first, as the queries call it.
     """
     asked = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     item_kind = items.schema["item_id"].dataType.simpleString()

@@ -136,6 +136,7 @@ def top_inner_products(vectors: DataFrame, queries: Column, *, k: int = 5, scale
     vec_id. Equal rows count once; rows of one vec_id with different vectors are rows of their own, and are
     no candidates of each other. Only vectors of one length meet; empty ones score 0. Scores
     beyond 64 bits are computed in full and cut to the nearest 64-bit number, by which they rank. Other columns are ignored.
+    Workers that lack this package need ``common.ship`` first, as the queries call it.
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & _valid(F.col("embedding")))
     whole = written(rows.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct())

@@ -375,6 +375,7 @@ def prefix_trie(seqs: DataFrame, *, fan: int = FAN) -> DataFrame:
     million turns takes some 36 MB; no other group is held whole, whatever its share of the rows. Rows without
     a conv_id are left out, null roles and texts are empty ones; a conversation without turns ends at the root.
     No rows give no nodes. Equal rows are turns of their own. Other columns are ignored.
+    Workers that lack this package need ``common.ship`` first, as the queries call it.
     """
     paths = _distinct(seqs).select("path", "lengths", "n", "conv", "ends")
     ordered = paths.repartitionByRange("path").sortWithinPartitions("path")
