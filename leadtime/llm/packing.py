@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from leadtime.llm.common import BLANKS, number_rows, text_pieces, written
 
 #: Words, and letters or marks of words, whose ids a Python worker remembers; a full memory is emptied.
-REMEMBERED = 600_000
-REMEMBERED_PARTS = 300_000
+REMEMBERED = 150_000
+REMEMBERED_PARTS = 100_000
 #: Bytes of text that are tokenized together.
 AT_ONCE = 4 << 20
 
