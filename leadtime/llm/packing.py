@@ -6,7 +6,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from leadtime.llm.common import BLANKS, number_rows, text_pieces, written
 
-#: Words, and letters or marks of words, whose ids a Python worker remembers; a full memory is emptied.
-REMEMBERED = 150_000
-REMEMBERED_PARTS = 100_000
+#: Letters or marks of words whose ids a Python worker remembers; a full memory is emptied.
+REMEMBERED = 400_000
 #: Bytes of text that are tokenized together.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
@@ -42,7 +41,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,7 +54,7 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            if len(self.parts) >= REMEMBERED_PARTS:
+            if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
             letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
             ids = self.parts[part] = self._packed([t.id for t in self.tokenizer.model.tokenize(letters)])
@@ -70,12 +68,6 @@ class WordIds:
         letters, marks = plain.groups("")
         return (self._part(letters) if letters else b"") + (self._part(marks) if marks else b"")
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        ids = self.known[word] = self._ids(word)
-        return ids
-
     def of(self, texts: Sequence[bytes]) -> list[bytes]:
         """Ids of each of some texts, together.
 
@@ -88,8 +80,7 @@ class WordIds:
         starts, ends = edges[0::2], edges[1::2]
         bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~blank])]).dictionary_encode()
-        missing = self.__missing__
-        known = [missing(w) if ids is None else ids for w, ids in ((w, self.known.get(w)) for w in words.dictionary.to_pylist())]
+        known = list(map(self._ids, words.dictionary.to_pylist()))
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         tokens, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
         code = words.indices.to_numpy()
@@ -126,7 +117,7 @@ class _Cutter:
         return [*found, (self.start, len(self.rest) // 4, zlib.crc32(self.rest))]
 
 
-def _pieces(texts: Sequence[bytes], ids: WordIds, capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int, int]]:
+def _pieces(texts: Iterable[bytes], ids: WordIds, capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Row, number, start, length and checksum of every piece; texts, or parts of long ones, are tokenized some at a time."""
     cutter, number, row = _Cutter(capacity, end_id), 0, 0
 
@@ -142,7 +133,7 @@ def _pieces(texts: Sequence[bytes], ids: WordIds, capacity: int, end_id: int) ->
                 yield row, number, *cut
                 number += 1
 
-    held, size = [], 0
+    held, size, at = [], 0, -1
     for at, text in enumerate(texts):
         for part in text_pieces(text):
             held.append((at, part))
@@ -152,7 +143,7 @@ def _pieces(texts: Sequence[bytes], ids: WordIds, capacity: int, end_id: int) ->
                 held, size = [], 0
     if held:
         yield from run_of(held)
-    if texts:
+    if at >= 0:
         for cut in cutter.finish():
             yield row, number, *cut
             number += 1
@@ -168,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end_i
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:
-            rows = list(_pieces([text.as_py() or b"" for text in batch.column(1)], ids, capacity, end_id))
+            rows = list(_pieces((text.as_py() or b"" for text in batch.column(1)), ids, capacity, end_id))
             of_row, piece, start, length, crc = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
