@@ -136,7 +136,7 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, compared):
         rows += [(group, len(rows) + i, " ".join(f"{rng.random()}" for _ in range(30))) for i in range(5)]
     node = F.struct(F.col("id"), F.lit(0).cast("long").alias("hash"))
     df = spark.createDataFrame(rows, "grp long, id long, text string").select(node.alias("node"), F.struct(F.col("grp").alias("id"), F.lit(0).cast("long").alias("hash")).alias("root"), F.col("text").cast("binary").alias("text"))
-    links = [(r.a.id, r.b.id) for r in simhash.near_links(df, width=5, similarity=0.8).collect()]
+    links = [(r.a.id, r.b.id) for r in simhash.near_links(simhash.written(df), width=5, similarity=0.8).collect()]
     sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for _, i, t in rows}
     near = [(a, b) for a in sets for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
 
