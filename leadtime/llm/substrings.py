@@ -27,6 +27,10 @@ CHUNK = 1 << 21
 BLOCK = 1 << 18
 #: Different pieces of one name that are sorted together; beyond, they are cut finer first.
 CROWD = 1024
+#: And bytes of them: sorting takes some hundred bytes for a byte of text.
+CROWD_BYTES = 1 << 22
+#: Rows that a task holds before it hands them on.
+HELD = 10_000
 #: Starts to a piece at the finer levels; one start to a piece leaves nothing to sort.
 FINER = (48, 8, 1)
 
@@ -148,8 +152,11 @@ def pieces(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Text of each different (``name``, ``content``) of ``wanted``, with the number ``n`` of its places."""
-    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "starts", "name", "content", "twice")).alias("cuts"))
+    """Text of each different (``name``, ``content``) of ``wanted``, with the number ``n`` of its places.
+
+    Equal rows have equal cuts; as a set these are no more than one row's, and each row counts them once.
+    """
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "starts", "name", "content", "twice")).alias("cuts"))
     joined = _keyed_join(docs, lists, "inner").select("bytes", "cuts")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +166,9 @@ def _texts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 text = text.as_py()
                 for c in cuts.as_py():
                     rows.append((c["name"], c["content"], c["twice"], text[c["start"] : c["start"] + c["starts"] + length - 1]))
-                if len(rows) > 10_000:
-                    yield _batch(rows)
-                    rows = []
+                    if len(rows) >= HELD:
+                        yield _batch(rows)
+                        rows = []
             yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -244,11 +251,16 @@ def _finer(kinds: DataFrame, length: int, starts: int) -> DataFrame:
                     name = xxhash.xxh3_64_intdigest(text[middle : middle - starts + 1 + length], seed=int(step[a]) + (starts << 32))
                     part = text[a : b + length - 1]
                     rows.append((_signed(name), _signed(xxhash.xxh3_64_intdigest(part, seed=1)), gram, owner, owned, int(a), n, part))
+                    if len(rows) >= HELD:
+                        yield _batch(rows)
+                        rows = []
             if rows:
-                kinds = [pa.int64()] * 7 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["name", "content", "gram", "owner", "owned", "at", "n", "text"]
-                )
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        names = ["name", "content", "gram", "owner", "owned", "at", "n", "text"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "name long, content long, gram long, owner long, owned long, at long, n long, text binary"
     return kinds.select("name", "content", "gram", "n", "text").mapInArrow(of, schema)
@@ -261,18 +273,21 @@ def _signed(x: int) -> int:
 def _marks(kinds: DataFrame, length: int, finer: tuple[int, ...] = FINER) -> DataFrame:
     """``name``, ``content``, ``low``, ``high``: which starts of each different piece repeat.
 
-    Names with up to ``CROWD`` different pieces are suffix-sorted. Beyond that the pieces are cut
-    finer, which parts those that share no more than the gram; equal ones are folded and the same
-    is done to them. Where a piece holds one string, its equals are all there is to find.
+    Names with up to ``CROWD`` different pieces of ``CROWD_BYTES`` in all are suffix-sorted. Beyond that
+    the pieces are cut finer, which parts those that share no more than the gram; equal ones are folded
+    and the same is done to them. Where a piece holds one string, its equals are all there is to find.
     """
-    names = cut_lineage(
-        kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("places"), F.max("twice").alias("twice")).where("places > 1 or twice")
+    sized = kinds.groupBy("name").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("places"), F.max("twice").alias("twice"), F.sum(F.length("text")).alias("bytes")
     )
+    names = cut_lineage(sized.where("places > 1 or twice"))
     alike = kinds.join(names.where("kinds = 1 and not twice").select("name"), "name", "left_semi")
     found = alike.select("name", "content", F.lit(0).cast("long").alias("low"), (F.length("text") - length).cast("long").alias("high"))
-    some = names.where(f"(kinds > 1 or twice) and kinds <= {CROWD}").select("name")
+    large = (F.col("kinds") > CROWD) | ((F.col("bytes") > CROWD_BYTES) & F.lit(bool(finer)))
+    parting = names.where("kinds > 1 or twice")
+    some = parting.where(~large).select("name")
     found = found.union(_sorted_marks(kinds.join(some, "name", "left_semi"), length))
-    crowded = names.where(F.col("kinds") > CROWD).select("name")
+    crowded = parting.where(large).select("name")
     if not finer or crowded.isEmpty():
         return found
     parts = written(_finer(kinds.join(crowded, "name", "left_semi"), length, finer[0]))
@@ -286,7 +301,10 @@ def _marks(kinds: DataFrame, length: int, finer: tuple[int, ...] = FINER) -> Dat
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``runs``, first and last start of runs of repeated strings, of texts that have any."""
+    """``doc_id``, ``text_hash`` and ``runs``, first and last start of runs of repeated strings, of texts that have any.
+
+    Equal rows have equal runs, which a set holds once.
+    """
     all_pieces = written(pieces(docs, length))
     names = all_pieces.groupBy("name").agg(
         F.count("*").alias("n"), F.min("content").alias("least"), F.max("content").alias("most"), F.max("twice").alias("repeats")
@@ -300,7 +318,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     marked = parting.join(marks, ["name", "content"]).select(
         "doc_id", "text_hash", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")
     )
-    return alike.union(marked).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    return alike.union(marked).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
 
 def _merged(runs: list[dict] | None, length: int) -> list[tuple[int, int]]:
