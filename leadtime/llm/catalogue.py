@@ -62,7 +62,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir, "doc_id", "text", "source"), weights=(5, 2, 1), cap=3, block_words=64)
-    return taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return taken(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
 @query

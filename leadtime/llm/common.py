@@ -23,6 +23,8 @@ PIECE_BYTES = 1 << 20
 
 #: Rows that one task numbers at a time.
 SLICE_ROWS = 50_000
+#: Equal rows that travel as one.
+STEP = 1_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -100,6 +102,16 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, cop
     )
 
 
+def stepped(folded: DataFrame) -> DataFrame:
+    """Rows that stand for ``copies`` equal ones as rows of ``STEP`` copies at most: ``from``, those before, and ``n``.
+
+    Numbered with ``from`` in the order, the steps of one row are dealt over many slices.
+    """
+    begins = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(STEP).cast("long"))
+    steps = folded.withColumn("from", F.explode(begins))
+    return steps.withColumn("n", F.least(F.lit(STEP).cast("long"), F.col("copies") - F.col("from"))).drop("copies")
+
+
 def in_blocks(placed: DataFrame, cell: Sequence[str], spread: Sequence[str], size: int) -> DataFrame:
     """Rows of crowded cells in pairs of blocks, to be compared group by group of ``cell``, ``low`` and ``high``.
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import WORD, n_words, number_rows, written
+from leadtime.llm.common import WORD, n_words, number_rows, stepped, written
 from leadtime.session import cut_lineage
 
 #: Slots that one row unfolds into at a time.
@@ -91,15 +91,13 @@ def mix(
     times at most. Blocks meet their slots in a join by source and index.
 
     Null and empty texts have no words: they lie in no block, and their row has ``taken`` 0. Null is
-    a source of its own. Equal rows are told apart by a running ``copy``. Nothing but hashes of the
-    rows decides, so reruns agree. Other columns are ignored.
+    a source of its own. Equal rows are folded, placed in steps and told apart by a running ``copy``.
+    Nothing but hashes of the rows decides, so reruns agree. Other columns are ignored.
     """
     told = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     counted = told.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("copies"))
-    rows = written(
-        counted.select("doc_id", "source", "size", "text_hash", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    )
-    sources = cut_lineage(source_targets(rows, weights=weights, cap=cap))
+    rows = written(stepped(counted).withColumn("total", F.col("size") * F.col("n")))
+    sources = cut_lineage(source_targets(rows.select("source", F.col("total").alias("size")), weights=weights, cap=cap))
     size, target = F.col("source_size"), F.col("target")
     whole = F.when(size > 0, F.floor(target / size)).otherwise(0)
     blocks = F.ceil(size / F.lit(block_words)).cast("long")
@@ -107,8 +105,12 @@ def mix(
     shares = sources.select("source", "rank", "source_size", "target", blocks.alias("blocks"), slots.cast("long").alias("slots"))
 
     known = rows.alias("l").join(shares.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.rank")
+    numbered = number_rows(known, ["rank"], ["doc_id", "text_hash", "from", "size"], copies="total")
+    each = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     placed = written(
-        number_rows(known, ["rank"], ["doc_id", "text_hash", "copy", "size"], copies="size").withColumnRenamed("first", "start")
+        each.select(
+            "doc_id", "source", "size", "text_hash", "rank", (F.col("from") + F.col("i") + 1).alias("copy"), (F.col("first") + F.col("i") * F.col("size")).alias("start")
+        )
     )
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     cut = placed.where("size > 0").select("rank", "start", "size", F.explode(F.sequence(first, last)).alias("index"))
@@ -135,17 +137,20 @@ def mix(
 
 
 def taken(mixed: Mix) -> DataFrame:
-    """Every document of the mix with ``size``, its source's ``source_size`` and ``target``, and ``taken`` words."""
-    takes = mixed.plan.groupBy("rank", "index").agg(F.count("*").alias("takes"))
-    words = (
-        mixed.parts.join(takes, ["rank", "index"])
-        .groupBy("rank", "start")
-        .agg(F.sum(F.col("words") * F.col("takes")).alias("taken"))
+    """Every document of the mix with ``size``, its source's ``source_size`` and ``target``, and ``taken`` words.
+
+    ``shards`` lists the output shards that take any of it, by number, with the words that each takes.
+    """
+    takes = mixed.plan.groupBy("rank", "index", "shard").agg(F.count("*").alias("takes"))
+    of_shard = mixed.parts.join(takes, ["rank", "index"]).groupBy("rank", "start", "shard").agg(F.sum(F.col("words") * F.col("takes")).alias("words"))
+    words = of_shard.groupBy("rank", "start").agg(
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards")
     )
     # Documents without words may share a start with the next one; they take nothing.
     rows = mixed.rows.join(mixed.sources.select("rank", "source_size", "target"), "rank")
-    return rows.join(words, ["rank", "start"], "left").withColumn(
-        "taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
+    has = (F.col("size") > 0) & F.col("taken").isNotNull()
+    return rows.join(words, ["rank", "start"], "left").withColumns(
+        {"shards": F.when(has, F.col("shards")).otherwise(F.array()), "taken": F.when(has, F.col("taken")).otherwise(0).cast("long")}
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import number_rows
+from leadtime.llm.common import number_rows, stepped
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], *, grown: Sequence[S
     Returns ``doc_id``, ``size`` (UTF-8 bytes of the text, none for null, plus 1), ``text_crc32``,
     ``shard``, ``slot`` (from 0 in each shard) and ``grown_shard`` (the shard in ``grown``, null
     without it). The place depends on doc_id alone; rows without one are drawn by their null.
-    Repeated rows get a slot each: equal ones are folded into a count, numbered together and
+    Repeated rows get a slot each: equal ones are folded into a count, numbered in steps and
     unfolded, so that a third of all rows may be equal. Other columns are ignored.
     """
     rows = docs.select(
@@ -93,8 +93,8 @@ def shard_documents(docs: DataFrame, tree: Sequence[Shard], *, grown: Sequence[S
     placed = folded.withColumn("shard", tree_shard(F.col("doc_id"), tree)).withColumn(
         "grown_shard", tree_shard(F.col("doc_id"), grown) if grown else F.lit(None).cast("int")
     )
-    numbered = number_rows(placed, ["shard"], ["doc_id", "size", "text_crc32"], copies="copies")
+    numbered = number_rows(stepped(placed), ["shard"], ["doc_id", "size", "text_crc32", "from"], copies="n")
     return numbered.select(
         "doc_id", "size", "text_crc32", "shard", "grown_shard",
-        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"),
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"),
     )

@@ -144,6 +144,11 @@ def test_mixing_targets_and_words(spark, docs):
         assert r["size"] == size[r.doc_id] and r.taken <= 3 * r["size"] and r.source_size == sizes[r.source]
         assert math.isclose(r.target, targets[r.source])
         taken[r.source] += r.taken
+        assert sum(s.words for s in r.shards) == r.taken and [s.shard for s in r.shards] == sorted({s.shard for s in r.shards})
+    in_shard = Counter()
+    for r in rows:
+        in_shard.update({s.shard: s.words for s in r.shards})
+    assert set(in_shard) == set(range(64)) and max(in_shard.values()) <= 2 * sum(in_shard.values()) / 64
     assert len(rows) == len(docs) and all(abs(taken[s] - targets[s]) <= 100 for s in sizes)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, result(spark, "op2_mixing")))
 

@@ -6,10 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadtime.llm import language, scoring, simhash
+from leadtime.llm import common, language, scoring, simhash, substrings
 from leadtime.llm.language import identify_languages, words_of
+from leadtime.llm.mixing import mix, taken
 from leadtime.llm.quality_rules import clean, quality_rules
+from leadtime.llm.sharding import even_tree, shard_documents
 from leadtime.llm.simhash import keep_one, wide_groups
+from leadtime.llm.substrings import remove_repeated
 
 
 def test_every_training_text_is_learnt_from_once(spark):
@@ -160,3 +163,53 @@ def test_pairs_about_the_border_of_short_texts_are_found(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(more))]
     found = {r.doc_id: r.similar_id for r in wide_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(found.get(i + 1) == i for i in range(0, len(rows), 2)) >= 0.98 * len(rows) / 2
+
+
+def test_equal_rows_have_one_set_of_runs(spark):
+    """Many equal rows beside one that shares a passage: as many runs as two texts have, whatever the rows."""
+    rng = random.Random(13)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, copied = some(60), some(1200)
+    texts = [copied + " " + passage] * 600 + [passage + " " + some(50), some(300)]
+    ids = [7] * 600 + [8, 9]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(8)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("bytes"))
+    runs = {r.doc_id: r.runs for r in substrings.repeated_runs(keyed, 200).collect()}
+    assert set(runs) == {7, 8} and len(runs[7]) <= 2 * len(copied)
+    rows = remove_repeated(docs).collect()
+    assert len(rows) == 602
+    for r in rows:
+        gone = {7: len(texts[0]), 8: len(passage), 9: 0}[r.doc_id]
+        assert gone <= r.n_removed <= gone + (r.doc_id == 8) and (r.n_spans == (gone > 0))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 12])
+def test_long_pieces_of_one_name_are_cut_finer(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "CROWD_BYTES", most)
+    monkeypatch.setattr(substrings, "HELD", 100)
+    texts = ["ab" * 3000, "ab" * 2500 + "c" * 250, "abc" * 1500, "xyz" + "abc" * 60, "d" * 199 + "e" * 199]
+    rows = remove_repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    counts = {}
+    for t in texts:
+        for s in range(len(t) - 199):
+            counts[t[s : s + 200]] = counts.get(t[s : s + 200], 0) + 1
+    for r in rows:
+        t = texts[r.doc_id]
+        gone = {i for s in range(len(t) - 199) if counts[t[s : s + 200]] > 1 for i in range(s, s + 200)}
+        assert (r.n_bytes, r.n_removed) == (len(t), len(gone))
+
+
+def test_equal_rows_are_placed_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(common, "STEP", 7)
+    rows = [(1, "five words to be taken", "a")] * 40 + [(i, "one two three", "b") for i in range(2, 30)] + [(None, None, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mix(docs, block_words=4)
+    placed = mixed.rows.where("size > 0").collect()
+    assert len({(r["rank"], r["start"]) for r in placed}) == 68
+    assert sorted(r["copy"] for r in placed if r["doc_id"] == 1) == list(range(1, 41))
+    got = taken(mixed).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r["size"] for r in got)
+    shards = shard_documents(docs, even_tree(4)).collect()
+    assert len(shards) == len(rows)
+    for n in range(4):
+        assert sorted(r.slot for r in shards if r.shard == n) == list(range(sum(r.shard == n for r in shards)))
