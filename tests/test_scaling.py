@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadtime.operators import indexing, learn
+from leadtime.operators.balance import oversample_minority
+from leadtime.plans.training import Columns, linear_parts, parts_of, tree_parts
+
+COLUMNS = Columns(categoricals=["c"], numericals=["n"], outcome="y", time="t")
+
+
+def _rows(spark) -> DataFrame:
+    """A fifth are positive; the first 60 of 100 moments are the training part."""
+    return spark.range(1000).select(
+        (F.col("id") % 101).alias("t"), (F.col("id") % 7).cast("string").alias("c"), (F.col("id") * 37 % 89).cast("double").alias("n"),
+        ((F.col("id") % 5 == 0) | (F.col("id") * 37 % 89 > 84)).cast("int").alias("y"), F.lit("wide").alias("other"),
+    )
 
 
 def _plan(df: DataFrame) -> str:
@@ -48,3 +60,41 @@ def test_slots_are_read_without_the_whole_vector(spark):
     assert len(expected) == 300
     # Only a vector of the two slots is turned into an array.
     assert "UDF(scaledFeatures" not in _plan(read).split("Project")[1]
+
+
+def test_copies_are_made_where_they_are_read(spark, tmp_path):
+    """What is written and kept holds a training row once; the training part is what oversampling gives."""
+    parts = parts_of(_rows(spark), COLUMNS)
+    staged = parts.staged(str(tmp_path), "s")
+    expected = oversample_minority(_rows(spark).where("t <= 60").withColumn("label", F.col("y").cast("double")).drop("t"), "label")
+    for train in (parts.train, staged.train):
+        assert train.columns == expected.columns
+        assert train.exceptAll(expected).count() == expected.exceptAll(train).count() == 0
+    positives = expected.where("y = 1").count()
+    assert staged.once.count() == _rows(spark).where("t <= 60").count() < staged.train.count()
+    assert staged.once.where("y = 1").agg(F.sum("__copies")).first()[0] == positives
+    with tree_parts(staged, COLUMNS) as (ready, _):
+        assert ready.once.is_cached and not ready.train.is_cached
+        assert ready.train.columns == ["indexedFeatures", "label"] and ready.train.count() == staged.train.count()
+    with linear_parts(staged, COLUMNS, keep=["c"]) as (ready, _):
+        assert ready.train.columns == ["scaledFeatures", "label", "c"]
+
+
+def test_boosting_by_weight_is_boosting_of_copies(spark):
+    parts = parts_of(_rows(spark), COLUMNS)
+    with tree_parts(parts, COLUMNS) as (ready, _):
+        rows, weight = ready.weighted()
+        assert weight and rows.count() < ready.train.count()
+        bins = learn.max_bins(ready.train, "indexedFeatures")
+        scores = []
+        for estimator, frame in ((learn.boosting("indexedFeatures", bins, weight=weight), rows), (learn.boosting("indexedFeatures", bins), ready.train)):
+            trees = estimator.copy({estimator.maxIter: 4, estimator.maxDepth: 3}).fit(frame)
+            scores.append([r.s for r in trees.transform(ready.test).select(vector_to_array("probability")[1].alias("s")).collect()])
+    assert len(scores[0]) > 100 and scores[0] == pytest.approx(scores[1])
+
+
+def test_fits_side_by_side_shrink_as_the_rows_grow():
+    assert learn.fits_at_once(1000, 8) >= 3
+    assert learn.fits_at_once(20 * learn.FIT_ROWS_PER_CORE, 8) == 1
+    assert learn.fits_at_once(4 * learn.FIT_ROWS_PER_CORE, 8) == 2
+    assert learn.fits_at_once(0, 1) >= 1
