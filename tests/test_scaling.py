@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadtime.operators import indexing, learn
 from leadtime.operators.balance import oversample_minority
 from leadtime.plans.training import Columns, linear_parts, parts_of, tree_parts
+from leadtime.sources.stages import read_stage
 
 COLUMNS = Columns(categoricals=["c"], numericals=["n"], outcome="y", time="t")
 
@@ -63,13 +64,14 @@ def test_slots_are_read_without_the_whole_vector(spark):
 
 
 def test_copies_are_made_where_they_are_read(spark, tmp_path):
-    """What is written and kept holds a training row once; the training part is what oversampling gives."""
+    """What is kept holds a training row once; the training part, also as written, is what oversampling gives."""
     parts = parts_of(_rows(spark), COLUMNS)
     staged = parts.staged(str(tmp_path), "s")
     expected = oversample_minority(_rows(spark).where("t <= 60").withColumn("label", F.col("y").cast("double")).drop("t"), "label")
     for train in (parts.train, staged.train):
         assert train.columns == expected.columns
         assert train.exceptAll(expected).count() == expected.exceptAll(train).count() == 0
+    assert read_stage(spark, str(tmp_path), "s", "trainingData").count() == expected.count()
     positives = expected.where("y = 1").count()
     assert staged.once.count() == _rows(spark).where("t <= 60").count() < staged.train.count()
     assert staged.once.where("y = 1").agg(F.sum("__copies")).first()[0] == positives
@@ -98,3 +100,16 @@ def test_fits_side_by_side_shrink_as_the_rows_grow():
     assert learn.fits_at_once(20 * learn.FIT_ROWS_PER_CORE, 8) == 1
     assert learn.fits_at_once(4 * learn.FIT_ROWS_PER_CORE, 8) == 2
     assert learn.fits_at_once(0, 1) >= 1
+
+
+def test_tasks_of_boosting_are_few_if_bins_are_many(spark, monkeypatch):
+    assert learn.boosting_tasks(1_000_000, 18_000, 12, 3) == 4
+    assert learn.boosting_tasks(20_000_000, 12_000, 12, 1) == 26
+    assert learn.boosting_tasks(0, 32, 8, 3) == 3
+    used = []
+    monkeypatch.setattr(learn, "fitted", lambda estimator, train: used.append(train.rdd.getNumPartitions()) or estimator.fit(train))
+    with tree_parts(parts_of(_rows(spark).repartition(8), COLUMNS), COLUMNS) as (ready, _):
+        rows, weight = ready.weighted()
+        learn.holdout_grid(learn.boosting("indexedFeatures", 32, weight=weight), {"maxIter": [1], "maxDepth": [1]}, rows, ready.val, bins=32)
+    # One fit has all cores to itself.
+    assert rows.coalesce(spark.sparkContext.defaultParallelism).rdd.getNumPartitions() == used[0] <= spark.sparkContext.defaultParallelism
