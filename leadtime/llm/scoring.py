@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,41 +22,76 @@ END = b" "
 FREQUENT = 1 << 17
 #: Words that the model tells apart, and classes of all rarer ones, by how they end.
 WORDS, RARE = 2048, 64
-#: Distinct words that a task counts before it passes them on; tokens that it scores at a time.
-COUNTED, SCORED = 200_000, 1_500_000
+#: Words that a task counts before it passes them on; tokens that it scores at a time; bytes of texts that it cuts into words at a time.
+COUNTED, SCORED, CUT_BYTES = 2_000_000, 1_500_000, 4 << 20
 
 
 def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % RARE
 
 
-def words_of(text: bytes | None) -> Iterator[list[bytes]]:
-    """Lower-cased (A-Z) words of a text in lists of bounded length, then the end."""
-    for piece in text_pieces(text or b""):
-        yield piece.lower().split()
-    yield [END]
+def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Lower-cased (A-Z) words of binary texts and, for each, the row of its text, in runs from texts of bounded length; ends are left out."""
+    sizes, start = pc.binary_length(texts).to_numpy(), 0
+    while start < len(texts):
+        if sizes[start] > CUT_BYTES:
+            runs, end = (pa.array([piece], pa.binary()) for piece in text_pieces(texts[start].as_py())), start + 1
+        else:
+            end = start + max(1, int(np.searchsorted(sizes[start:].cumsum(), CUT_BYTES, side="right")))
+            runs = iter([texts.slice(start, end - start)])
+        for run in runs:
+            # The ASCII blanks of Arrow are those of ``bytes.split``; beside leading and trailing ones it finds empty words.
+            cut = pc.ascii_split_whitespace(pc.ascii_lower(run.view(pa.string())))
+            words, rows = cut.flatten(), np.repeat(np.arange(start, start + len(run)), pc.list_value_length(cut).to_numpy())
+            some = pc.greater(pc.binary_length(words), 0)
+            yield rows[some.to_numpy(zero_copy_only=False)], words.filter(some)
+        start = end
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all rows of ``bytes``, ends included; a task adds up its own words first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size, ends = [], 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                for words in words_of(text.as_py()):
-                    counts.update(words)
-                if len(counts) > COUNTED:
-                    yield _pairs(counts)
-                    counts = Counter()
-        yield _pairs(counts)
-
-    def _pairs(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            ends += len(batch)
+            for _, words in words_of(batch.column(0)):
+                held.append(words)
+                size += len(words)
+                if size > COUNTED:
+                    yield _pairs(held)
+                    held, size = [], 0
+        if held:
+            yield _pairs(held)
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
+
+    def _pairs(held: list[pa.Array]) -> pa.RecordBatch:
+        found = pc.value_counts(pa.chunked_array(held, pa.string()))
+        return pa.RecordBatch.from_arrays([found.field("values").view(pa.binary()), found.field("counts")], ["word", "n"])
 
     return texts.select("bytes").mapInArrow(of, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Encoded:
+    """Words of texts: row, model id, place in the counts (-1: not frequent) and place in ``distinct`` of each."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    places: np.ndarray
+    codes: np.ndarray
+    distinct: pa.Array
+
+    def others(self) -> tuple[np.ndarray, pa.Array]:
+        """Rows and entries of the words that are not frequent, a word and how often the row has it."""
+        rare = np.flatnonzero(self.places < 0)
+        pairs, times = np.unique(self.rows[rare] * len(self.distinct) + self.codes[rare], return_counts=True)
+        size = max(1, len(self.distinct))
+        words = self.distinct.take(pa.array(pairs % size)).view(pa.binary())
+        return pairs // size, pa.StructArray.from_arrays([words, pa.array(times.astype(np.int64))], ["word", "times"])
+
+
 @dataclass
 class Vocabulary:
     """Frequent words with model id and count, logs of the rare classes' sums, and the totals."""
@@ -68,25 +103,24 @@ class Vocabulary:
     tokens: int
     distinct: int
 
-    def encode(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, Counter]:
-        """Model ids, places of the frequent tokens in ``counts``, and the words that are not frequent."""
-        ids, places, others, get = [], [], Counter(), self.ids.get
-        for words in words_of(text):
-            found = list(map(get, words))
-            if None in found:
-                rest = [w for w, i in zip(words, found) if i is None]
-                others.update(rest)
-                classes = iter([WORDS + rare_class(w) for w in rest])
-                at = np.array([-1 if i is None else i for i in found])
-                model = np.where(at < 0, 0, self.model_ids[at])
-                model[at < 0] = list(classes)
-                places.append(at[at >= 0])
-            else:
-                at = np.array(found, np.int64)
-                model = self.model_ids[at]
-                places.append(at)
-            ids.append(model.astype(np.int32))
-        return np.concatenate(ids), np.concatenate(places), others
+    def encode(self, texts: pa.Array) -> Iterator[Encoded]:
+        """Words of binary texts in runs, ends left out; the words of a run are looked up once each."""
+        for rows, words in words_of(texts):
+            told = words.dictionary_encode()
+            known = told.dictionary.view(pa.binary()).to_pylist()
+            place = np.fromiter((self.ids.get(w, -1) for w in known), np.int64, len(known))
+            other = np.flatnonzero(place < 0)
+            model = self.model_ids[place]
+            model[other] = [WORDS + rare_class(known[i]) for i in other]
+            codes = told.indices.to_numpy()
+            yield Encoded(rows, model.astype(np.int16)[codes], place[codes], codes, told.dictionary)
+
+    def sequences(self, count: int, runs: list[Encoded]) -> list[np.ndarray]:
+        """Model ids of each of ``count`` texts, the end included."""
+        end = np.array([self.model_ids[self.ids[END]]], np.int16)
+        rows, ids = (np.concatenate([a, *(getattr(r, k) for r in runs)]) for a, k in ((np.zeros(0, np.int64), "rows"), (end[:0], "ids")))
+        cuts = np.searchsorted(rows, np.arange(count + 1)).tolist()
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts, cuts[1:])]
 
 
 def _vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
@@ -150,9 +184,9 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
                 held.clear()
 
             for batch in batches:
-                for text in batch.column(0):
-                    held.append(words.value.encode(text.as_py())[0])
-                    size += len(held[-1])
+                for text in words.value.sequences(len(batch), list(words.value.encode(batch.column(0)))):
+                    held.append(text)
+                    size += len(text)
                     if size >= SCORED:
                         learn()
                         size = 0
@@ -209,33 +243,34 @@ def score_documents(docs: DataFrame, training: DataFrame, *, rounds: int = 8) ->
         # A rare word: what its class's share takes off, and, if frequent, what its count adds.
         rest = np.where(known.model_ids >= WORDS, logs, 0.0)
         sums = np.log10(known.rare_sums)
-        rows, held = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            scores = score_texts(model, [r[2] for r in rows]) / np.log(10)
-            out = []
-            for (doc_id, text_hash, ids, places, others), score in zip(rows, scores):
-                rare = ids[ids >= WORDS] - WORDS
-                out.append(
-                    (
-                        doc_id, text_hash, len(ids), int((known.counts[places] > 0).sum()), float(logs[places].sum()),
-                        float(score + rest[places].sum() - sums[rare].sum()), [{"word": w, "times": n} for w, n in others.items()],
-                    )
-                )
-            kinds = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        end = known.ids[END]
+
+        def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n, runs = len(batch), list(known.encode(batch.column(2)))
+            texts = known.sequences(n, runs)
+            score = score_texts(model, texts) / np.log(10)
+            logged, seen = np.full(n, logs[end]), np.full(n, int(known.counts[end] > 0))
+            holders, others = [np.zeros(0, np.int64)], [pa.array([], pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
+            for run in runs:
+                frequent, rare = run.places >= 0, run.ids >= WORDS
+                rows, places = run.rows[frequent], run.places[frequent]
+                logged += np.bincount(rows, logs[places], n)
+                seen += np.bincount(rows[known.counts[places] > 0], minlength=n)
+                score += np.bincount(rows, rest[places], n) - np.bincount(run.rows[rare], sums[run.ids[rare] - WORDS], n)
+                for into, some in zip((holders, others), run.others()):
+                    into.append(some)
+            cuts = np.searchsorted(np.concatenate(holders), np.arange(n + 1)).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(cuts), pa.concat_arrays(others))
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, *map(pa.array, (seen, logged, score)), listed], names)
 
-        id_type = None
         for batch in batches:
-            id_type = batch.column(0).type
-            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                rows.append((doc_id, text_hash, *known.encode(text.as_py())))
-                held += len(rows[-1][2])
-                if held >= SCORED:
-                    yield from flush()
-                    rows, held = [], 0
-        if rows:
-            yield from flush()
+            # Rows of about as many tokens as are scored at a time.
+            weight = pc.binary_length(batch.column(2)).to_numpy().cumsum() // (6 * SCORED)
+            cuts = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), len(batch)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first < last:
+                    yield scored(batch.slice(first, last - first))
 
     names = ["doc_id", "text_hash", "n_tokens", "n_frequent", "logs", "score", "others"]
     kind = docs.schema["doc_id"].dataType.simpleString()
