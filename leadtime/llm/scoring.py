@@ -26,6 +26,10 @@ WORDS, RARE = 2048, 64
 COUNTED, SCORED, CUT_BYTES = 2_000_000, 1_500_000, 4 << 20
 
 
+#: Weights that travel as one value.
+PART = 4096
+
+
 def rare_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % RARE
 
@@ -42,7 +46,7 @@ def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
         for run in runs:
             # The ASCII blanks of Arrow are those of ``bytes.split``; beside leading and trailing ones it finds empty words.
             cut = pc.ascii_split_whitespace(pc.ascii_lower(run.view(pa.string())))
-            words, rows = cut.flatten(), np.repeat(np.arange(start, start + len(run)), pc.list_value_length(cut).to_numpy())
+            words, rows = cut.flatten(), np.repeat(np.arange(start, start + len(run), dtype=np.int32), pc.list_value_length(cut).to_numpy())
             some = pc.greater(pc.binary_length(words), 0)
             yield rows[some.to_numpy(zero_copy_only=False)], words.filter(some)
         start = end
@@ -86,7 +90,7 @@ class Encoded:
     def others(self) -> tuple[np.ndarray, pa.Array]:
         """Rows and entries of the words that are not frequent, a word and how often the row has it."""
         rare = np.flatnonzero(self.places < 0)
-        pairs, times = np.unique(self.rows[rare] * len(self.distinct) + self.codes[rare], return_counts=True)
+        pairs, times = np.unique(self.rows[rare].astype(np.int64) * len(self.distinct) + self.codes[rare], return_counts=True)
         size = max(1, len(self.distinct))
         words = self.distinct.take(pa.array(pairs % size)).view(pa.binary())
         return pairs // size, pa.StructArray.from_arrays([words, pa.array(times.astype(np.int64))], ["word", "times"])
@@ -108,7 +112,7 @@ class Vocabulary:
         for rows, words in words_of(texts):
             told = words.dictionary_encode()
             known = told.dictionary.view(pa.binary()).to_pylist()
-            place = np.fromiter((self.ids.get(w, -1) for w in known), np.int64, len(known))
+            place = np.fromiter((self.ids.get(w, -1) for w in known), np.int32, len(known))
             other = np.flatnonzero(place < 0)
             model = self.model_ids[place]
             model[other] = [WORDS + rare_class(known[i]) for i in other]
@@ -168,6 +172,21 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
     context = texts.sparkSession.sparkContext
     model, learnt = _new_model(counts, vocabulary.rare_sums), 0
     words = context.broadcast(vocabulary)
+    schema = "at long, value binary, tokens long"
+
+    def rows_of(rows: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
+        at, values, tokens = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array([v.tobytes() for v in values]), pa.array(tokens)], ["at", "value", "tokens"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            for at, value, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                before, n = sums.get(at, (0.0, 0))
+                sums[at] = before + np.frombuffer(value), n + tokens
+        if sums:
+            yield rows_of([(at, *both) for at, both in sums.items()])
+
     for number in range(rounds):
         sent = context.broadcast(model)
 
@@ -192,27 +211,17 @@ def train(texts: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, *, round
                         size = 0
             learn()
             if trainer.tokens:
-                flat = np.concatenate([own.parameters[k].ravel() for k in sorted(own.parameters)]).astype(np.float64)
-                for start in range(0, len(flat), 50_000):
-                    part = flat[start : start + 50_000]
-                    at = np.arange(start, start + len(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(at), pa.array(part * trainer.tokens), pa.array(np.full(len(part), trainer.tokens))], ["at", "value", "tokens"]
-                    )
+                at = range(0, len(trainer.weights), PART)
+                yield rows_of([(i, trainer.weights[i : i + PART].astype(np.float64) * trainer.tokens, trainer.tokens) for i in at])
 
         some = texts.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(rounds)) == number).select("bytes")
-        sums = some.mapInArrow(of, "at long, value double, tokens long").groupBy("at").agg(
-            (F.sum("value") / F.sum("tokens")).alias("value"), F.sum("tokens").alias("tokens")
-        )
-        found = sums.toArrow()
-        if not found.num_rows:
+        found = some.mapInArrow(of, schema).repartition("at").mapInArrow(added, schema).toArrow().sort_by("at").to_pydict()
+        if not found["at"]:
             continue
-        learnt += found["tokens"][0].as_py()
-        flat = np.empty(found.num_rows)
-        flat[found["at"].to_numpy()] = found["value"].to_numpy()
+        learnt += found["tokens"][0]
+        flat = np.concatenate([np.frombuffer(value) / n for value, n in zip(found["value"], found["tokens"])])
         at = 0
-        for k in sorted(model.parameters):
-            old = model.parameters[k]
+        for k, old in model.parameters.items():
             model.parameters[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
             at += old.size
     return model, learnt

@@ -8,15 +8,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadtime.llm import catalogue, packing, simhash, substrings
+from leadtime.llm import catalogue, packing, scoring, simhash, substrings
 from leadtime.llm.catalogue import tokenizer_path
 from leadtime.llm.components import connected_components
-from leadtime.llm.gru import GruModel, Trainer, score_texts
+from leadtime.llm.gru import GruModel, Trainer, score_texts, windows
 from leadtime.llm.language import viterbi
 from leadtime.llm.mixing import mix, mixed_documents, permuted
 from leadtime.llm.resampling import kth_largest
@@ -439,3 +440,51 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     assert all(not Counter(BLANK.findall(r.text)) - words[r.doc_id] for r in kept[3])
     assert max(Counter(r.doc_id for r in kept[3]).values()) <= 3
     assert Counter((r.doc_id) for r in kept[4] if r.piece == 0) == Counter(r.doc_id for r in kept[3])
+
+
+def test_words_of_runs_are_looked_up_once(monkeypatch):
+    """Words as ``bytes.split`` cuts them, row by row, over runs and pieces of long texts; a run asks for each of its words once."""
+    monkeypatch.setattr(scoring, "CUT_BYTES", 40)
+    odd = [b" A\x0bb \x0c\xc2\x85c\x1cD \r\n", b"", b"  ", "Äß ÄSS  x".encode(), b"\xff\xfe B", b"one two one " * 30, b"tail end"]
+    split = [t.lower().split() for t in odd]
+    found: list[list[bytes]] = [[] for _ in odd]
+    for rows, words in scoring.words_of(pa.array(odd, pa.binary())):
+        for row, word in zip(rows, words.view(pa.binary()).to_pylist()):
+            found[row].append(word)
+    assert found == split
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            Asked.n += 1
+            return super().get(*key)
+
+    monkeypatch.setattr(scoring, "CUT_BYTES", 1 << 20)
+    known = Asked({scoring.END: 0, b"one": 1})
+    vocabulary = scoring.Vocabulary(known, np.array([9, 5]), np.array([0, 1]), np.ones(scoring.RARE), 14, 2)
+    runs = list(vocabulary.encode(pa.array(odd, pa.binary())))
+    assert Asked.n == len({w for own in split for w in own})
+    rare = lambda w: scoring.WORDS + scoring.rare_class(w)
+    assert [t.tolist() for t in vocabulary.sequences(len(odd), runs)] == [[1 if w == b"one" else rare(w) for w in own] + [0] for own in split]
+    others = Counter()
+    for run in runs:
+        for row, pair in zip(*(x.tolist() if hasattr(x, "tolist") else x for x in run.others())):
+            others[row, pair["word"]] += pair["times"]
+    assert others == Counter((i, w) for i, own in enumerate(split) for w in own if w != b"one")
+
+
+def test_output_layer_near_the_range_of_floats():
+    """Weights whose exponentials overflow give what shifted rows give; stretched windows score as plain ones."""
+    rng = np.random.default_rng(12)
+    model = GruModel(np.arange(20.0, 0, -1), np.ones(2), classes=4, hidden=6)
+    states, goal = np.ones((9, 7), np.float32), np.sort(rng.integers(0, 22, 9))
+    plain, shifted = model._output(states, goal, True), model._output(states, goal, True, True)
+    assert np.allclose(plain[0], shifted[0], rtol=1e-5) and np.allclose(plain[1], shifted[1], atol=1e-6)
+    model.parameters["o"] += 200
+    model.parameters["p"] += 200
+    far = model._output(states, goal, True)
+    assert np.allclose(far[0], plain[0], rtol=1e-3) and all(np.isfinite(g).all() for g in far[2].values())
+    texts = [rng.integers(0, 22, n) for n in (70, 3, 1, 9)]
+    plain, wide = (list(windows(texts, model.start, 2, 8, stretched=s)) for s in (False, True))
+    assert len(wide) < len(plain) and sum(int(w[4].sum()) for w in wide) == sum(int(w[4].sum()) for w in plain) == 83
