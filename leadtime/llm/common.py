@@ -102,6 +102,15 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, cop
     )
 
 
+def unfolded(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that goes by sorting, so that no side is broadcast.
+
+    Spark sizes rows that come of an ``explode``, and what is grouped of them, as if each had stayed one, so it would
+    send a table of any size through the driver.
+    """
+    return df.hint("merge")
+
+
 def stepped(folded: DataFrame) -> DataFrame:
     """Rows that stand for ``copies`` equal ones as rows of ``STEP`` copies at most: ``from``, those before, and ``n``.
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import WORD, n_words, number_rows, stepped, written
+from leadtime.llm.common import WORD, n_words, number_rows, stepped, unfolded, written
 from leadtime.session import cut_lineage
 
 #: Slots that one row unfolds into at a time.
@@ -142,14 +142,14 @@ def taken(mixed: Mix) -> DataFrame:
     ``shards`` lists the output shards that take any of it, by number, with the words that each takes.
     """
     takes = mixed.plan.groupBy("rank", "index", "shard").agg(F.count("*").alias("takes"))
-    of_shard = mixed.parts.join(takes, ["rank", "index"]).groupBy("rank", "start", "shard").agg(F.sum(F.col("words") * F.col("takes")).alias("words"))
+    of_shard = mixed.parts.join(unfolded(takes), ["rank", "index"]).groupBy("rank", "start", "shard").agg(F.sum(F.col("words") * F.col("takes")).alias("words"))
     words = of_shard.groupBy("rank", "start").agg(
         F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards")
     )
     # Documents without words may share a start with the next one; they take nothing.
     rows = mixed.rows.join(mixed.sources.select("rank", "source_size", "target"), "rank")
     has = (F.col("size") > 0) & F.col("taken").isNotNull()
-    return rows.join(words, ["rank", "start"], "left").withColumns(
+    return rows.join(unfolded(words), ["rank", "start"], "left").withColumns(
         {"shards": F.when(has, F.col("shards")).otherwise(F.array()), "taken": F.when(has, F.col("taken")).otherwise(0).cast("long")}
     )
 
@@ -163,11 +163,11 @@ def mixed_documents(docs: DataFrame, *, cap: int = 3, **options) -> DataFrame:
     mixed = mix(docs, cap=cap, **options)
     takes = mixed.plan.groupBy("rank", "index").agg(F.count("*").cast("int").alias("takes"))
     spans = (
-        mixed.parts.join(takes, ["rank", "index"])
+        mixed.parts.join(unfolded(takes), ["rank", "index"])
         .groupBy("rank", "start")
         .agg(F.sort_array(F.collect_list(F.struct("offset", "words", "takes"))).alias("spans"))
     )
-    rows = mixed.rows.where("size > 0").join(spans, ["rank", "start"])
+    rows = mixed.rows.where("size > 0").join(unfolded(spans), ["rank", "start"])
     passes = rows.select(
         *[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "text_hash", "size")],
         F.col("spans").alias("__spans"),
@@ -175,7 +175,7 @@ def mixed_documents(docs: DataFrame, *, cap: int = 3, **options) -> DataFrame:
     ).withColumn("__spans", F.filter("__spans", lambda s: s["takes"] >= F.col("__pass")))
     texts = docs.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__hash"])
     joined = texts.join(
-        passes,
+        unfolded(passes),
         texts["doc_id"].eqNullSafe(passes["__doc_id"])
         & texts["source"].eqNullSafe(passes["__source"])
         & (texts["__hash"] == passes["__text_hash"]),
