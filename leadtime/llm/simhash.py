@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadtime.llm.common import in_blocks, text_pieces, written
+from leadtime.llm.common import in_blocks, text_pieces, unfolded, written
 from leadtime.llm.components import connected_components, least_tied
 from leadtime.session import cut_lineage
 
@@ -212,13 +212,13 @@ def wide_groups(
     # All least shingles of short texts are one choice, the last.
     placed = coded.select("node", *names, F.posexplode("keys").alias("choice", "block")).withColumn("choice", F.least("choice", F.lit(blocks)))
     shared = placed.groupBy("choice", "block").agg(F.count("*").alias("held")).where("held > 1")
-    met = placed.join(shared, ["choice", "block"])
+    met = placed.join(unfolded(shared), ["choice", "block"])
     few, many = met.where(F.col("held") <= CROWD), met.where(F.col("held") > CROWD).drop("held")
     x, y = few.alias("x"), few.alias("y")
     apart = sum((F.bit_count(F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))) for n in names), F.lit(0))
     most = F.when(F.col("x.choice") == blocks, short_limit).otherwise(limit)
     pairs = x.join(
-        y,
+        unfolded(y),
         (F.col("x.choice") == F.col("y.choice")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.node") < F.col("y.node")) & (apart <= most),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 

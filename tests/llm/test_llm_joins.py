@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import DataFrame
 
+from leadtime.llm import simhash
 from leadtime.llm.mixing import mix, mixed_documents, taken
 
 
@@ -34,3 +35,13 @@ def test_blocks_of_a_mix_are_not_broadcast(docs):
         assert len(df.collect()) >= 120
         assert "isFinalPlan=true" in df._jdf.queryExecution().executedPlan().toString()
         assert not sent_whole(df)
+
+
+def test_blocks_of_fingerprints_are_not_broadcast(docs, monkeypatch):
+    frames = []
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df: frames.append(df) or written(df))
+    simhash.wide_groups(docs, width=5, similarity=0.8).collect()
+    assert any("Generate" in df._jdf.queryExecution().executedPlan().toString() for df in frames)
+    # Of blocks only how many texts a crowded one holds may be sent.
+    assert not [line for df in frames for line in sent_whole(df, but="Aggregate")]
