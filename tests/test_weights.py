@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leadtime.catalogue import learning
@@ -75,3 +75,12 @@ def test_copies_reach_only_forests_that_draw(spark, monkeypatch):
     assert isinstance(explored.models["tuned logistic"], LogisticRegressionModel)
     assert isinstance(explored.models["forest"], RandomForestClassificationModel)
     assert all(r.train_auroc > 0.5 for r in explored.scores.collect())
+
+
+def test_forest_fitted_after_an_observation_can_be_sent(spark):
+    """However it is fitted; the test above needs this if one was used in the session before."""
+    spark.range(3).observe(Observation("seen"), F.count(F.lit(1)).alias("n")).collect()
+    with tree_parts(parts_of(_rows(spark), COLUMNS), COLUMNS) as (ready, _):
+        model = learn.forest("indexedFeatures", 32).setNumTrees(2).fit(ready.train)
+        assert not model.hasSummary and model.transform(ready.test).count() == ready.test.count()
+        assert model.transform(ready.test).where("prediction is null").count() == 0
